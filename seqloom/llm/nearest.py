@@ -164,14 +164,15 @@ def nearest_vectors(
         empty = pd.DataFrame({"q": np.zeros(0, np.int64), "f": np.zeros(0, np.int64), "dist": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
-        tree, names, own = VPTree(_matrix(left["e"])), _ids(left["name"]), _ids(right["name"])
-        dist, idx = tree.search(_matrix(right["e"]), np.minimum(right["tau"].to_numpy(float), max_distance), k, names, own, factor)
+        tree, names, own = VPTree(_matrix(left["e"])), _ids(left["name"]), _ids(right["q"])
+        dist, idx = tree.search(_matrix(right["x"]), np.minimum(right["tau"].to_numpy(float), max_distance), k, names, own, factor)
         r, c = np.nonzero(idx >= 0)
         return pd.DataFrame({"q": own[r], "f": names[idx[r, c]], "dist": dist[r, c]})
 
     def run(where: DataFrame) -> DataFrame:
         """Cogroup trees with the queries sent to them; hot shards' queries are salted, the tree is built per salt."""
         asked = where.withColumn("salt", F.pmod(F.hash("name", F.lit(1)), F.element_at(salts, F.col("shard") + 1)))
+        asked = asked.select("shard", "part", "salt", F.col("name").alias("q"), F.col("e").alias("x"), "tau")  # own names: cogroup mixes up columns of one source
         trees = data.withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("shard") + 1) - 1)))
         g = ["shard", "part", "salt"]
         return trees.groupBy(*g).cogroup(asked.groupBy(*g)).applyInPandas(tree_search, "q bigint, f bigint, dist double")
@@ -183,7 +184,7 @@ def nearest_vectors(
     salts = salted(dict(zip(stats["shard"], stats["n"])))
     first = materialize(run(asks.select("shard", "name", "e", F.lit(2.0).alias("tau"), parts)))
     tau = first.groupBy("q").agg(F.sort_array(F.collect_list("dist")).alias("l")).select("q", F.when(F.size("l") >= k, F.element_at("l", k)).otherwise(F.lit(2.0)).alias("tau"))
-    known = asks.join(tau, asks["name"] == tau["q"], "left").select("name", "e", F.col("shard").alias("home"), F.least(F.coalesce("tau", F.lit(2.0)), F.lit(float(max_distance))).alias("tau"))
+    known = asks.join(tau, F.col("name") == F.col("q"), "left").select("name", "e", F.col("shard").alias("home"), F.least(F.coalesce("tau", F.lit(2.0)), F.lit(float(max_distance))).alias("tau"))
 
     def reach(it):
         for pdf in it:
