@@ -164,7 +164,7 @@ def nearest_vectors(
         empty = pd.DataFrame({"q": np.zeros(0, np.int64), "f": np.zeros(0, np.int64), "dist": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
-        tree, names, own = VPTree(_matrix(left["e"])), _ids(left["name"]), _ids(right["q"])
+        tree, names, own = VPTree(_matrix(left["y"])), _ids(left["t"]), _ids(right["q"])
         dist, idx = tree.search(_matrix(right["x"]), np.minimum(right["tau"].to_numpy(float), max_distance), k, names, own, factor)
         r, c = np.nonzero(idx >= 0)
         return pd.DataFrame({"q": own[r], "f": names[idx[r, c]], "dist": dist[r, c]})
@@ -172,10 +172,10 @@ def nearest_vectors(
     def run(where: DataFrame) -> DataFrame:
         """Cogroup trees with the queries sent to them; hot shards' queries are salted, the tree is built per salt."""
         asked = where.withColumn("salt", F.pmod(F.hash("name", F.lit(1)), F.element_at(salts, F.col("shard") + 1)))
-        asked = asked.select("shard", "part", "salt", F.col("name").alias("q"), F.col("e").alias("x"), "tau")  # own names: cogroup mixes up columns of one source
+        asked = asked.select(F.col("shard").alias("qs"), F.col("part").alias("qp"), F.col("salt").alias("qt"), F.col("name").alias("q"), F.col("e").alias("x"), "tau")  # own names: cogroup mixes up columns of one source
         trees = data.withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("shard") + 1) - 1)))
-        g = ["shard", "part", "salt"]
-        return trees.groupBy(*g).cogroup(asked.groupBy(*g)).applyInPandas(tree_search, "q bigint, f bigint, dist double")
+        trees = trees.select("shard", "part", "salt", F.col("name").alias("t"), F.col("e").alias("y"))
+        return trees.groupBy("shard", "part", "salt").cogroup(asked.groupBy("qs", "qp", "qt")).applyInPandas(tree_search, "q bigint, f bigint, dist double")
 
     def salted(counts: dict[int, int]):
         return F.array(*[F.lit(max(1, math.ceil(counts.get(s, 0) / (6 * per_shard)))) for s in range(len(centres))])
