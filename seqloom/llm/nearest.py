@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..scratch import materialize, skew_join
 
 
+#: Shard centres at most: every vector is compared with all of them.
+MOST_PIVOTS = 4096
+
+
 class VPTree:
     """Vantage-point tree over unit vectors, searched by blocks of queries.
 
@@ -21,7 +25,7 @@ class VPTree:
     """
 
     def __init__(self, x: np.ndarray, leaf: int = 96, seed: int = 7) -> None:
-        self.x, self.nodes, rng = x, [], np.random.default_rng(seed)
+        self.exact, self.x, self.nodes, rng = x, x.astype(np.float32), [], np.random.default_rng(seed)
         self.root = self._build(np.arange(len(x)), leaf, rng)
 
     def _build(self, ids: np.ndarray, leaf: int, rng) -> int:
@@ -48,7 +52,8 @@ class VPTree:
 
         Points whose name is the query's own are passed over. Ties go to the smaller name.
         """
-        m = len(q)
+        m, exact = len(q), q
+        q = q.astype(np.float32)  # distances are first taken in single precision with slack; those of finds are recomputed
         dist, idx, tau = np.full((m, k), np.inf), np.full((m, k), -1), tau.astype(float).copy()
 
         def visit(node: int, act: np.ndarray) -> None:
@@ -58,13 +63,20 @@ class VPTree:
             if n[0] is None:
                 for s in range(0, len(n[1]), 2048):
                     ids = n[1][s : s + 2048]
-                    d = _dist(q[act], self.x[ids])
-                    d[names[ids][None, :] == own[act][:, None]] = np.inf
-                    d[d > tau[act][:, None] + 1e-9] = np.inf
-                    hit = np.flatnonzero(np.isfinite(d).any(1))
+                    dot = q[act] @ self.x[ids].T
+                    near = dot >= (1 - np.minimum(tau[act], 2.0) ** 2 / 2 - 1e-5)[:, None]
+                    hit = np.flatnonzero(near.any(1))
                     if not len(hit):
                         continue
-                    rows = act[hit]
+                    rows, near = act[hit], near[hit]
+                    near &= names[ids][None, :] != own[rows][:, None]
+                    d = np.full(near.shape, np.inf)
+                    a, b = np.nonzero(near)
+                    for s0 in range(0, len(a), 100_000):
+                        i, j = a[s0 : s0 + 100_000], b[s0 : s0 + 100_000]
+                        e = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", exact[rows[i]], self.exact[ids[j]])))
+                        d[i, j] = np.where(e <= tau[rows[i]] + 1e-9, e, np.inf)
+                    hit = np.arange(len(rows))
                     alld = np.concatenate([dist[rows], d[hit]], 1)
                     alli = np.concatenate([idx[rows], np.broadcast_to(ids, (len(hit), len(ids)))], 1)
                     rank = np.where(np.isfinite(alld), names[alli], np.iinfo(np.int64).max)
@@ -116,7 +128,7 @@ def _pivots(vectors: DataFrame, dim: int, shards: int, sample: int) -> np.ndarra
 
 
 def nearest_vectors(
-    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, max_distance: float = 2.0, per_shard: int = 8_000, sample: int = 20_000, queries: DataFrame | None = None
+    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, max_distance: float = 2.0, per_shard: int = 1_000, sample: int = 20_000, queries: DataFrame | None = None
 ) -> DataFrame:
     """Rows ``(query, neighbour, similarity, rank)``: for every vector the ``k`` others most similar by cosine.
 
@@ -140,7 +152,7 @@ def nearest_vectors(
         return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, similarity double, rank int")
     dim, n = top[0], rows.count()
     rows = rows.where(F.size("e") == dim)
-    centres = _pivots(rows, dim, max(1, math.ceil(n / per_shard)), sample)
+    centres = _pivots(rows, dim, min(MOST_PIVOTS, max(1, math.ceil(n / per_shard))), sample)
 
     def home(it):
         for pdf in it:
@@ -199,13 +211,13 @@ def nearest_vectors(
                 ok = (d <= radius[None] + t[:, None] + 1e-6) & (d - mine[:, None] <= 2 * t[:, None] + 1e-6)
                 ok[np.arange(len(d)), pdf["home"].to_numpy()[s : s + 4096]] = False
                 r, c = np.nonzero(ok)
-                yield pd.DataFrame({"shard": c, "name": pdf["name"].to_numpy()[s + r], "e": pdf["e"].to_numpy()[s + r], "tau": tau_[s + r]})
+                yield pd.DataFrame({"shard": c.astype(np.int32), "name": pdf["name"].to_numpy()[s + r], "tau": tau_[s + r]})
 
     both = first
     if len(centres) > 1:
-        sent = materialize(known.mapInPandas(reach, "shard int, name bigint, e array<double>, tau double"))
+        sent = materialize(known.mapInPandas(reach, "shard int, name bigint, tau double"))
         salts = salted({r[0]: r[1] for r in sent.groupBy("shard").count().collect()})
-        both = first.unionByName(run(sent.select("shard", "name", "e", "tau", parts)))
+        both = first.unionByName(run(sent.join(asks.select("name", "e"), "name").select("shard", "name", "e", "tau", parts)))
     best = (
         both.groupBy("q")
         .agg(F.array_sort(F.collect_list(F.struct(F.round("dist", 9).alias("d"), F.col("f").alias("f"), F.col("dist").alias("x")))).alias("l"))
@@ -217,7 +229,7 @@ def nearest_vectors(
     return skew_join(materialize(out), labels.withColumnsRenamed({"name": "f", "label": "neighbour"}), "f").select("query", "neighbour", "similarity", "rank")
 
 
-def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 1.0) -> DataFrame:
+def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 0.3) -> DataFrame:
     """Rows ``(a, b)``, a < b: names with cosine of at least ``least_similarity``, one among the other's ``k`` most similar."""
     ball = math.sqrt(2 - 2 * least_similarity) + 1e-7
     near = nearest_vectors(vectors, name, emb, k=k, factor=factor, max_distance=ball).where(F.col("similarity") >= least_similarity - 1e-9)
