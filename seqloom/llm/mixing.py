@@ -105,11 +105,14 @@ def mix_sources(docs: DataFrame, doc_id: str, size: str, targets: DataFrame, lev
     placed = src.join(plan_df, list(levels)).withColumn("h", F.xxhash64(F.lit(seed), F.col("whole") + 1, "doc_id", *levels)).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     every = placed.where("whole > 0").select("doc_id", *levels, F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("epoch"), "size")
     sums = placed.where("rest > 0").groupBy(*levels, "bucket").agg(F.sum("size").alias("b"))
-    before = F.broadcast(sums.select(*levels, "bucket", (F.sum("b").over(W.partitionBy(*levels).orderBy("bucket")) - F.col("b")).alias("before"), "b"))  # BUCKETS rows per leaf
-    part = placed.where("rest > 0").join(before, [*levels, "bucket"])
-    inside = part.where(F.col("before") + F.col("b") <= F.col("rest"))
-    run = F.sum("size").over(W.partitionBy(*levels, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cut = part.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("b") > F.col("rest"))).withColumn("end", F.col("before") + run).where(F.col("end") - F.col("size") / 2 <= F.col("rest"))
+    before = sums.select(*levels, "bucket", (F.sum("b").over(W.partitionBy(*levels).orderBy("bucket")) - F.col("b")).alias("before"), "b")
+    # of each leaf the one bucket in which its budget ends
+    ends = before.join(plan_df, list(levels)).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("b") >= F.col("rest")))
+    cuts = F.broadcast(ends.groupBy(*levels).agg(F.min("bucket").alias("cut"), F.min("before").alias("before")))
+    part = placed.where("rest > 0").join(cuts, list(levels))
+    inside = part.where("bucket < cut")
+    run = F.sum("size").over(W.partitionBy(*levels).orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cut = part.where("bucket = cut").withColumn("end", F.col("before") + run).where(F.col("end") - F.col("size") / 2 <= F.col("rest"))
     last = lambda df: df.select("doc_id", *levels, (F.col("whole") + 1).alias("epoch"), "size")
     null_back = [F.when(F.col(c) != "\x00", F.col(c)).alias(c) for c in levels]
     picked = materialize(every.unionByName(last(inside)).unionByName(last(cut)).select(F.col("doc_id").cast(kt).alias("doc_id"), *null_back, "epoch", "size"))
