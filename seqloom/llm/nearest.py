@@ -128,7 +128,7 @@ def _pivots(vectors: DataFrame, dim: int, shards: int, sample: int) -> np.ndarra
 
 
 def nearest_vectors(
-    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, max_distance: float = 2.0, per_shard: int = 1_000, sample: int = 20_000, queries: DataFrame | None = None
+    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, shard_factor: float | None = None, max_distance: float = 2.0, per_shard: int = 2_000, sample: int = 20_000, queries: DataFrame | None = None
 ) -> DataFrame:
     """Rows ``(query, neighbour, similarity, rank)``: for every vector the ``k`` others most similar by cosine.
 
@@ -144,7 +144,7 @@ def nearest_vectors(
     the triangle inequality (centre and radius, counted over all rows) can't rule out, with ``factor`` times that ball.
     ``factor`` 1 gives the exact result; below 1 it trades recall for fewer visits.
     """
-    rows = vectors.select(F.col(name).alias("label"), F.col(emb).cast("array<double>").alias("e")).where("label is not null and e is not null and exists(e, v -> v <> 0) and forall(e, v -> v is not null and not isnan(v))")
+    rows = vectors.select(F.col(name).alias("label"), F.col(emb).cast("array<float>").alias("e")).where("label is not null and e is not null and exists(e, v -> v <> 0) and forall(e, v -> v is not null and not isnan(v))")
     rows = materialize(rows.groupBy("label").agg(F.min("e").alias("e")).withColumn("name", F.xxhash64("label")))
     top = rows.select(F.size("e")).groupBy("size(e)").count().orderBy(F.desc("count"), "size(e)").first()
     kind = vectors.schema[name].dataType.simpleString()
@@ -162,7 +162,7 @@ def nearest_vectors(
             d = np.concatenate([_dist(x[s : s + 4096], centres) for s in range(0, len(x), 4096)])
             yield pd.DataFrame({"label": pdf["label"], "name": pdf["name"], "e": pdf["e"], "shard": d.argmin(1), "d": d.min(1)})
 
-    placed = materialize(rows.mapInPandas(home, f"label {kind}, name bigint, e array<double>, shard int, d double"))
+    placed = materialize(rows.mapInPandas(home, f"label {kind}, name bigint, e array<float>, shard int, d double"))
     stats = placed.groupBy("shard").agg(F.max("d").alias("radius"), F.count("*").alias("n")).orderBy("shard").toPandas()  # one row per shard
     radius = np.full(len(centres), -np.inf)
     radius[stats["shard"]] = stats["radius"]
@@ -206,7 +206,7 @@ def nearest_vectors(
             for s in range(0, len(x), 4096):
                 d = _dist(x[s : s + 4096], centres)
                 mine = d.min(1)
-                t = factor * tau_[s : s + 4096]
+                t = (factor if shard_factor is None else shard_factor) * tau_[s : s + 4096]
                 # ball against the shard's ball, and against its cell: d(q, c) - d(q, own centre) <= 2 t for points nearer to c
                 ok = (d <= radius[None] + t[:, None] + 1e-6) & (d - mine[:, None] <= 2 * t[:, None] + 1e-6)
                 ok[np.arange(len(d)), pdf["home"].to_numpy()[s : s + 4096]] = False
@@ -229,8 +229,8 @@ def nearest_vectors(
     return skew_join(materialize(out), labels.withColumnsRenamed({"name": "f", "label": "neighbour"}), "f").select("query", "neighbour", "similarity", "rank")
 
 
-def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 0.3) -> DataFrame:
+def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 0.4, shard_factor: float = 0.17) -> DataFrame:
     """Rows ``(a, b)``, a < b: names with cosine of at least ``least_similarity``, one among the other's ``k`` most similar."""
     ball = math.sqrt(2 - 2 * least_similarity) + 1e-7
-    near = nearest_vectors(vectors, name, emb, k=k, factor=factor, max_distance=ball).where(F.col("similarity") >= least_similarity - 1e-9)
+    near = nearest_vectors(vectors, name, emb, k=k, factor=factor, shard_factor=shard_factor, max_distance=ball).where(F.col("similarity") >= least_similarity - 1e-9)
     return near.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b")).distinct()
