@@ -95,11 +95,11 @@ def dna_qualities(t):
 _ODD = "list_filter(list_transform(range(1, length(s) + 1), lambda i: {'r': substr(s, i::BIGINT, 1), 'p': i::INT}), lambda v: NOT contains('ACDEFGHIKLMNPQRSTVWY', v.r))"
 
 
-@query(f"""WITH x AS (SELECT doc_id, upper(trim(coalesce(text, ''), ' ')) AS s FROM documents), o AS (SELECT doc_id, s, {_ODD} AS odd FROM x)
+@query(f"""WITH x AS (SELECT doc_id, upper(trim(coalesce(text, ''), ' ')) AS s FROM documents WHERE lang = 'en'), o AS (SELECT doc_id, s, {_ODD} AS odd FROM x)
 SELECT doc_id, length(list_filter(odd, lambda v: v.r <> '*')) AS ambiguity_count, ends_with(s, '*') AS has_terminal_stop, length(list_filter(odd, lambda v: v.r = '*' AND v.p < length(s))) AS n_internal_stops FROM o""")
 def residue_ambiguities(t):
-    """Whole documents as sequences: every letter that isn't a residue counts."""
-    a = t("documents").select("doc_id", S.protein_ambiguities("text").alias("a"))
+    """Whole English documents as sequences: every letter that isn't a residue counts."""
+    a = t("documents").where("lang = 'en'").select("doc_id", S.protein_ambiguities("text").alias("a"))
     return a.select("doc_id", "a.ambiguity_count", "a.has_terminal_stop", F.size("a.internal_stop_positions").alias("n_internal_stops"))
 
 
