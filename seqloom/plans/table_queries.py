@@ -20,9 +20,9 @@ def protein_rejects(t):
     return X.reject_counts(t("protein_final"), X.protein_rules())
 
 
-@query(f"SELECT file, brc_fea_id, loaded_at FROM protein_final WHERE {_REASON} = 'kept'")
+@query(f"SELECT file, brc_fea_id FROM protein_final WHERE {_REASON} = 'kept'")
 def protein_kept(t):
-    return X.keep(t("protein_final"), X.protein_rules()).select("file", "brc_fea_id", "loaded_at")
+    return X.keep(t("protein_final"), X.protein_rules()).select("file", "brc_fea_id")
 
 
 @query(f"WITH {META} SELECT p.file, p.brc_fea_id FROM protein_final p WHERE assembly_id IN (SELECT assembly_id FROM meta WHERE host = 'Human' AND year BETWEEN 2005 AND 2020 AND hn_subtype IN ('H1N1', 'H3N2'))")
@@ -179,7 +179,7 @@ _FAM = "f AS (SELECT 'prot_hash' AS family, 'a' AS side, split_name AS split, la
 
 
 @query(f"""WITH {_FAM}, x AS (SELECT * FROM f WHERE value IS NOT NULL), s AS (SELECT DISTINCT family, side, value, split AS other FROM x), n AS (SELECT family, side, label, split, count(*) AS n_pairs, count(DISTINCT value) AS n_unique FROM x GROUP BY ALL)
-SELECT x.family, x.side, x.label, x.split, s.other, count(DISTINCT x.value) AS n_overlap, n_pairs, n_unique, round(count(DISTINCT x.value) * 100 / n_unique, 2) AS overlap_pct FROM x JOIN s USING (family, side, value) JOIN n ON n.family = x.family AND n.side = x.side AND n.label = x.label AND n.split = x.split GROUP BY ALL""")
+SELECT x.family, x.side, x.label, x.split, s.other, count(DISTINCT x.value) AS n_overlap, any_value(n.n_pairs) AS n_pairs, any_value(n.n_unique) AS n_unique, round(count(DISTINCT x.value) * 100 / any_value(n.n_unique), 2) AS overlap_pct FROM x JOIN s USING (family, side, value) JOIN n ON n.family = x.family AND n.side = x.side AND n.label = x.label AND n.split = x.split GROUP BY 1, 2, 3, 4, 5""")
 def split_overlap(t):
     return A.split_overlap(t("segment_pairs"), ["prot_hash", "ctg_dna_hash"])
 
