@@ -167,14 +167,13 @@ def kmer_counts(df: DataFrame, key: str, seq: str, k: int, letters: str = "ACGT"
 def kmer_features(df: DataFrame, key: str, seq: str, k: int, *, letters: str = "ACGT", norm: str = "none") -> DataFrame:
     """V-3: one sparse row per sequence, ``features map<index, value>`` with index = the k-mer as a number of base len(letters).
 
-    ``norm`` is none, l1 or l2; a sequence without k-mers has an empty map. Sequences are counted once per distinct
-    (key, text); the counting stays inside the row, so nothing is shuffled.
+    ``norm`` is none, l1 or l2; a key without k-mers has an empty map. Rows of one key are counted together, null keys
+    are left out. Counts are made per (key, k-mer) with map-side combining.
     """
-    w = kmers(seq, k, letters)
     at = F.create_map(*[v for i, c in enumerate(letters) for v in (F.lit(c), F.lit(i))])
-    index = lambda m: F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda acc, c: acc * len(letters) + at[c])
-    ranked = F.array_sort(F.transform(w, index))
-    keys = F.array_distinct(ranked)
-    n = F.transform(keys, lambda i: (F.size(ranked) - F.size(F.array_remove(ranked, i))).cast("double"))
-    total = {"none": F.lit(1.0), "l1": F.aggregate(n, F.lit(0.0), lambda a, v: a + v), "l2": F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, v: a + v * v))}[norm]
-    return df.select(key, F.map_from_arrays(keys, F.transform(n, lambda v: v / total)).alias("features"))
+    index = F.aggregate(F.filter(F.split("kmer", ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda acc, c: acc * len(letters) + at[c])
+    size = {"none": F.lit(1.0), "l1": F.sum("n").cast("double"), "l2": F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double"))}[norm]
+    g = kmer_counts(df, key, seq, k, letters).withColumn("i", index).groupBy(key).agg(F.collect_list(F.struct("i", "n")).alias("l"), size.alias("size"))
+    vec = g.select(key, F.map_from_entries(F.transform("l", lambda e: F.struct(e["i"], e["n"] / F.col("size")))).alias("features"))
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    return keys.join(vec, key, "left").withColumn("features", F.coalesce("features", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>"))))
