@@ -9,8 +9,10 @@ from ..functions.packed import accession_grammar, strain_grammar, unpack
 
 def _both(spark: SparkSession, d: str, least: int) -> DataFrame:
     key = spark.read.parquet(f"{d}/flu_genomes_key.parquet")
-    # a field that holds neither a delimiter nor a quote nor a bracket holds one value
-    names = unpack(key, "hash_id", "virus_name", strain_grammar, simple=r"^[^;|,\t\n\r&+\"'\[{(<]*$" if least > 1 else None, least_items=least)
+    # a field that holds neither a quote nor a bracket nor a delimiter other than '/' holds one value, unless a strain's
+    # start comes somewhere behind a '/'
+    simple = r"(?s)\A(?!.*/.*(?:A/|Influenza A virus))[^;|,\t\n\r&+\"'\[{(<]*\z"
+    names = unpack(key, "hash_id", "virus_name", strain_grammar, simple=simple if least > 1 else None, least_items=least)
     return names.unionByName(unpack(key, "hash_id", "seg_1", accession_grammar, simple=r"^[A-Za-z0-9.]+$", least_items=least))
 
 
