@@ -97,14 +97,15 @@ def protein_ambiguities(seq: Name) -> Column:
     letters = F.filter(F.transform(F.split(s, ""), lambda x, i: F.struct(x.alias("r"), (i + 1).alias("p"))), lambda v: v["r"] != "")
     odd = F.filter(letters, lambda v: ~v["r"].isin(*STANDARD_RESIDUES))
     residues = F.filter(odd, lambda v: v["r"] != "*")
-    stops = F.transform(F.filter(odd, lambda v: (v["r"] == "*") & (v["p"] < F.length(s))), lambda v: v["p"])
+    inner = F.transform(F.filter(letters, lambda v: (v["r"] == "*") & (v["p"] < F.length(s))), lambda v: v["p"])
+    stops = F.when(F.contains(s, F.lit("*")), inner).otherwise(F.array().cast("array<int>"))
     names = F.array_distinct(F.transform(residues, lambda v: v["r"]))
     where = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(residues, lambda v: v["r"] == n), lambda v: v["p"])))
     return F.struct(
         ((F.size(names) > 0) | (F.size(stops) > 0)).alias("has_ambiguities"),
         names.alias("ambiguous_residues"),
         where.alias("ambiguity_positions"),
-        F.size(residues).alias("ambiguity_count"),
+        F.length(F.translate(s, STANDARD_RESIDUES + "*", "")).alias("ambiguity_count"),
         s.endswith("*").alias("has_terminal_stop"),
         (F.size(stops) > 0).alias("has_internal_stop"),
         stops.alias("internal_stop_positions"),

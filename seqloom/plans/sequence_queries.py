@@ -98,9 +98,9 @@ _ODD = "list_filter(list_transform(range(1, length(s) + 1), lambda i: {'r': subs
 @query(f"""WITH x AS (SELECT doc_id, upper(trim(coalesce(text, ''), ' ')) AS s FROM documents WHERE lang = 'en'), o AS (SELECT doc_id, s, {_ODD} AS odd FROM x)
 SELECT doc_id, length(list_filter(odd, lambda v: v.r <> '*')) AS ambiguity_count, ends_with(s, '*') AS has_terminal_stop, length(list_filter(odd, lambda v: v.r = '*' AND v.p < length(s))) AS n_internal_stops FROM o""")
 def residue_ambiguities(t):
-    """Whole English documents as sequences: every letter that isn't a residue counts."""
-    a = t("documents").where("lang = 'en'").select("doc_id", S.protein_ambiguities("text").alias("a"))
-    return a.select("doc_id", "a.ambiguity_count", "a.has_terminal_stop", F.size("a.internal_stop_positions").alias("n_internal_stops"))
+    """Whole documents as sequences: every letter that isn't a residue counts."""
+    a = S.protein_ambiguities("text")  # fields are taken one by one, so that the maps of positions are never built
+    return t("documents").select("doc_id", a["ambiguity_count"].alias("ambiguity_count"), a["has_terminal_stop"].alias("has_terminal_stop"), F.size(a["internal_stop_positions"]).alias("n_internal_stops"))
 
 
 @query("SELECT count(*) AS total_seqs, 0::BIGINT AS seqs_with_ambiguities, 0.0::DOUBLE AS percent_seqs_with_ambiguities, 0::BIGINT AS total_ambiguities, count_if(prot_seq LIKE '%*') AS terminal_stops, count_if(rtrim(prot_seq, '*') LIKE '%*%') AS internal_stops FROM protein_final")

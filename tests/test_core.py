@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from seqloom.checks import DataCheckError, unique_key
 from seqloom.functions import keys, metadata, sequences
 from seqloom.operators import filters, graph, metrics, splits, windows
+from seqloom.plans import model_queries, registry, sequence_queries  # noqa: F401
 
 
 def one(spark, col):
@@ -73,3 +74,13 @@ def test_metrics_with_ties(spark):
     assert r.auc_roc == pytest.approx(0.625) and r.auc_pr == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
     assert metrics.predict(df, 0.9).where("pred_label = 1").count() == 0
     assert metrics.ranking_metrics(df.where("label = 1")).first().auc_roc is None
+
+
+def test_residues_of_all_documents(spark, tmp_path):
+    docs = [(1, "en", " MX*bx* "), (2, "de", "Straße*é*"), (3, None, "ac 𐐷*\n*d"), (4, "fr", None), (5, None, ""), (6, "en", "**")]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, _, t in docs:
+        s = (t or "").strip(" ").upper()
+        want.add((i, sum(c not in "*" + sequences.STANDARD_RESIDUES for c in s), s.endswith("*"), s[:-1].count("*")))
+    assert {tuple(r) for r in registry.QUERIES["residue_ambiguities"](spark, str(tmp_path)).collect()} == want
