@@ -52,8 +52,7 @@ def split_leakage(t):
 @query(f"""WITH RECURSIVE {CLUSTERED}, e AS (SELECT DISTINCT 'a:' || cluster_id_a AS u, 'b:' || cluster_id_b AS v FROM clustered WHERE cluster_id_a IS NOT NULL AND cluster_id_b IS NOT NULL AND substr(cluster_id_a, 3, 1) = substr(cluster_id_b, 3, 1)),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach AS (SELECT u, u AS v FROM b UNION SELECT reach.u, b.v FROM reach JOIN b ON reach.v = b.u) SELECT u AS node, min(v) AS root FROM reach GROUP BY 1""")
 def graph_components(t):
-    p = t.clustered().where("substring(cluster_id_a, 3, 1) = substring(cluster_id_b, 3, 1)")
-    return G.components(G.pair_bigraph(p))
+    return G.components(G.pair_bigraph(t.clustered()))
 
 
 @query("SELECT function, count(DISTINCT prot_hash_a) AS n_a, count(DISTINCT prot_hash_b) AS n_b, count(DISTINCT prot_hash_a || prot_hash_b) AS n_pairs, count(DISTINCT prot_hash_a) * count(DISTINCT prot_hash_b) = count(DISTINCT prot_hash_a || prot_hash_b) AS infeasible FROM (SELECT func_a AS function, * FROM segment_pairs) WHERE prot_hash_a IS NOT NULL AND prot_hash_b IS NOT NULL AND function IS NOT NULL GROUP BY 1")

@@ -84,3 +84,11 @@ def test_residues_of_all_documents(spark, tmp_path):
         s = (t or "").strip(" ").upper()
         want.add((i, sum(c not in "*" + sequences.STANDARD_RESIDUES for c in s), s.endswith("*"), s[:-1].count("*")))
     assert {tuple(r) for r in registry.QUERIES["residue_ambiguities"](spark, str(tmp_path)).collect()} == want
+
+
+def test_components_of_all_clusters(spark, tmp_path):
+    ha, hb = ["00a", "01a", "10a", "20a", "30a", None], ["10b", "10b", "20b", "20b", "31b", "40b"]
+    spark.createDataFrame([(h,) for h in ha + hb], "prot_hash string").write.parquet(f"{tmp_path}/protein_final.parquet")
+    spark.createDataFrame(list(zip(ha, hb)), "prot_hash_a string, prot_hash_b string").write.parquet(f"{tmp_path}/segment_pairs.parquet")
+    want = {"a:C_00": "a:C_00", "a:C_01": "a:C_00", "b:C_10": "a:C_00", "a:C_10": "a:C_10", "a:C_20": "a:C_10", "b:C_20": "a:C_10", "a:C_30": "a:C_30", "b:C_31": "a:C_30"}
+    assert dict(registry.QUERIES["graph_components"](spark, str(tmp_path)).collect()) == want
