@@ -117,8 +117,9 @@ def within_group_negatives(positives: DataFrame, group: str, observed: DataFrame
     """N-9/N-10/N-12: label-0 recombinations of a and b sequences inside a group (a component, or a split), never observed.
 
     Each group's budget is half-even ``ratio`` times its positives. Candidates pair every a sequence with ``per_row``
-    b sequences of its group, chosen by hash position, so a group's product is never built. ``seen`` holds keys
-    placed in earlier groups.
+    b sequences of its group, chosen by hash position, so a group's product isn't built. Groups whose budget isn't met
+    that way go twice as far round, until it is met or every pair of theirs was seen. ``seen`` holds keys placed in
+    earlier groups.
     """
     g = positives.where(F.col(group).isNotNull())
     budget = g.groupBy(group).agg(F.bround(F.count("*") * ratio).cast("bigint").alias("budget"))
@@ -128,15 +129,27 @@ def within_group_negatives(positives: DataFrame, group: str, observed: DataFrame
     # positions inside a group in two steps, so that no task ranks a whole group
     o = b.withColumn("o", order_key(seed, "hb")).withColumn("s", F.substring("o", 1, 2))
     slices = o.groupBy(group, "s").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(W.partitionBy(group).orderBy("s")) - F.col("k")).drop("k")
-    ring = o.withColumn("r", F.row_number().over(W.partitionBy(group, "s").orderBy("o", "hb")) - 1).join(slices, [group, "s"]).select(group, "hb", (F.col("r") + F.col("before")).alias("at"))
-    asks = a.join(sized, group).withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_row), F.col("n").cast("int"))))).withColumn("at", F.pmod(F.conv(F.substring(order_key(seed, "ha"), 1, 15), 16, 10).cast("bigint") + F.col("i"), F.col("n")))
-    cand = asks.join(ring, [group, "at"]).where("ha <> hb").select(group, F.col("ha").alias("prot_hash_a"), F.col("hb").alias("prot_hash_b"), pair_key("ha", "hb").alias("pair_key"))
-    cand = without_observed(cand, observed)
-    if seen is not None:
-        cand = without_observed(cand, seen)
-    cand = keep_first(cand, ["pair_key"], [F.col(group), F.col("prot_hash_a")]).withColumn("o", order_key(seed, "pair_key")).join(budget, group)
-    near = cand.withColumn("r", F.row_number().over(W.partitionBy(group, F.substring("o", 1, 2)).orderBy("o", "pair_key"))).where("r <= budget")
-    return near.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy("o", "pair_key"))).where("r <= budget").select(group, "pair_key", "prot_hash_a", "prot_hash_b", F.lit(0).alias("label"))
+    ring = materialize(o.withColumn("r", F.row_number().over(W.partitionBy(group, "s").orderBy("o", "hb")) - 1).join(slices, [group, "s"]).select(group, "hb", (F.col("r") + F.col("before")).alias("at")))
+    wanted = materialize(budget.join(sized, group))
+    out, todo = None, wanted
+    while True:
+        asks = a.join(todo, group).withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_row), F.col("n").cast("int"))))).withColumn("at", F.pmod(F.conv(F.substring(order_key(seed, "ha"), 1, 15), 16, 10).cast("bigint") + F.col("i"), F.col("n")))
+        cand = asks.join(ring, [group, "at"]).where("ha <> hb").select(group, "budget", F.col("ha").alias("prot_hash_a"), F.col("hb").alias("prot_hash_b"), pair_key("ha", "hb").alias("pair_key"))
+        cand = without_observed(cand, observed)
+        for placed in (seen, out):
+            if placed is not None:
+                cand = without_observed(cand, placed)
+        cand = keep_first(cand, ["pair_key"], [F.col(group), F.col("prot_hash_a")]).withColumn("o", order_key(seed, "pair_key"))
+        near = cand.withColumn("r", F.row_number().over(W.partitionBy(group, F.substring("o", 1, 2)).orderBy("o", "pair_key"))).where("r <= budget")
+        part = materialize(near.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy("o", "pair_key"))).where("r <= budget").select(group, "pair_key", "prot_hash_a", "prot_hash_b", F.lit(0).alias("label")))
+        new = not part.isEmpty()  # then a key that another group had first may be free for a group that saw all its pairs
+        out = materialize(part if out is None else out.unionByName(part))
+        got = out.groupBy(group).agg(F.count("*").alias("got"))
+        left = wanted.join(got, group, "left").withColumn("budget", F.col("budget") - F.coalesce("got", F.lit(0)))
+        todo = materialize(left.where((F.col("budget") > 0) & ((F.col("n") > per_row) | F.lit(new))).select(group, "budget", "n"))
+        if todo.isEmpty():
+            return out
+        per_row *= 2
 
 
 def within_split_negatives(positives: DataFrame, observed: DataFrame, ratio: float, splits: list[str], *, seed: int = 0) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from seqloom.checks import DataCheckError, unique_key
 from seqloom.functions import keys, metadata, sequences
-from seqloom.operators import filters, graph, metrics, splits, windows
+from seqloom.operators import filters, graph, metrics, pairs, splits, windows
 from seqloom.plans import model_queries, registry, sequence_queries  # noqa: F401
 
 
@@ -92,3 +92,11 @@ def test_components_of_all_clusters(spark, tmp_path):
     spark.createDataFrame(list(zip(ha, hb)), "prot_hash_a string, prot_hash_b string").write.parquet(f"{tmp_path}/segment_pairs.parquet")
     want = {"a:C_00": "a:C_00", "a:C_01": "a:C_00", "b:C_10": "a:C_00", "a:C_10": "a:C_10", "a:C_20": "a:C_10", "b:C_20": "a:C_10", "a:C_30": "a:C_30", "b:C_31": "a:C_30"}
     assert dict(registry.QUERIES["graph_components"](spark, str(tmp_path)).collect()) == want
+
+
+def test_budgets_of_uneven_groups_are_met(spark):
+    rows = [("g", f"a{i % 2}", f"b{i:02}") for i in range(40)] + [("h", "a8", "b90"), ("h", "a9", "b91"), ("h", "a9", "b90")]
+    df = spark.createDataFrame(rows, "cc string, prot_hash_a string, prot_hash_b string").withColumn("pair_key", keys.pair_key("prot_hash_a", "prot_hash_b"))
+    got = pairs.within_group_negatives(df, "cc", df.select("pair_key"), 1.0, per_row=2).collect()
+    want = {("g", f"a{1 - i % 2}", f"b{i:02}") for i in range(40)} | {("h", "a8", "b91")}
+    assert len(got) == 41 and {(r.cc, r.prot_hash_a, r.prot_hash_b) for r in got} == want
