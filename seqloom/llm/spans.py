@@ -146,7 +146,7 @@ def _boundary_keys(least: int, window: int):
                     lack = max(0, least - (e - s))
                     x = np.arange(0, min(max(lack, window), s) + 1)
                     y = np.maximum(0, lack - x)
-                    y2 = np.arange(1, max(lack, 2 * window + GRAM) + 1)
+                    y2 = np.arange(1, max(lack, 3 * window) + 1)  # the last sure edge ends at most a tail and two gaps before the end
                     x2 = np.maximum(0, lack - y2)
                     x, y = np.concatenate([x, x2]), np.concatenate([y, y2])
                     ok = (x <= s) & (y <= n - e)

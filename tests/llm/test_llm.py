@@ -117,3 +117,20 @@ def test_spans_against_brute_force(spark):
     want = {p for g in grams.values() for p in itertools.combinations(sorted(g), 2)}
     assert {tuple(r) for r in spans.documents_sharing(df, "doc_id", "text").collect()} == want
     assert spans.shared_share(df, "doc_id", "text").count() == len(docs)
+
+
+def test_shared_chars_against_brute_force(spark):
+    docs = []
+    for seed in (1, 4809, 19712):  # 19712: the last run of tokens ends 83 code points before the common stretch does
+        rnd = random.Random(seed)
+        word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        common = word(330)
+        docs += [(2 * seed + j, word(60) + common + word(60)) for j in (0, 1)]
+    grams = {}
+    for i, t in docs:
+        for k in range(len(t) - 199):
+            grams.setdefault(t[k : k + 200], set()).add(i)
+    want = {i: len({p for k in range(len(t) - 199) if len(grams[t[k : k + 200]]) > 1 for p in range(k, k + 200)}) for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_chars for r in spans.shared_share(df, "doc_id", "text").collect()}
+    assert sum(got[i] != want[i] for i in want) == 0
