@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import pair_key
+from ..scratch import pairs_within
 
 
 def isolate_pair_counts(df: DataFrame, *, mode: str = "unordered", schema: tuple[str, str] | None = None, key: str = "assembly_id") -> DataFrame:
@@ -22,7 +23,7 @@ def isolate_pair_counts(df: DataFrame, *, mode: str = "unordered", schema: tuple
 def observed_pairs(df: DataFrame, hash_col: str, key: str = "assembly_id") -> DataFrame:
     """A2: unordered pairs of distinct hashes seen in one isolate: (pair_key, hash_a, hash_b, num_isolates)."""
     one = df.where(F.col(key).isNotNull() & F.col(hash_col).isNotNull()).select(key, F.col(hash_col).alias("h")).distinct()
-    both = one.withColumnRenamed("h", "hash_a").join(one.withColumnRenamed("h", "hash_b"), key).where("hash_a < hash_b")
+    both = pairs_within(one, key, "h").withColumnsRenamed({"a": "hash_a", "b": "hash_b"})
     return both.groupBy("hash_a", "hash_b").agg(F.count("*").alias("num_isolates")).withColumn("pair_key", pair_key("hash_a", "hash_b"))
 
 

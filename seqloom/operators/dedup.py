@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import materialize, pairs_within, skew_join
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row per ``keys`` by ``order`` (which must be total); null keys are a value."""
@@ -82,14 +84,14 @@ def duplicate_statistics(df: DataFrame, seq: str, key: str = "assembly_id") -> D
 def contradictory_pairs(df: DataFrame, seq_hash: str, key: str = "assembly_id") -> DataFrame:
     """Duplicated sequences' pairs that share an isolate while each also has one without the other.
 
-    Only sequences in two or more isolates can take part; their common isolates come from a join per isolate and a
-    count, never from materialised sets.
+    Only sequences in two or more isolates can take part; their common isolates come from blocked pairs per isolate
+    and a count, never from materialised sets.
     """
     one = df.where(F.col(seq_hash).isNotNull() & F.col(key).isNotNull()).select(F.col(seq_hash).alias("h"), F.col(key).alias("k")).distinct()
     n = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = one.join(n, "h")
-    a, b = rows.select("k", F.col("h").alias("seq_a"), F.col("n").alias("na")), rows.select("k", F.col("h").alias("seq_b"), F.col("n").alias("nb"))
-    both = a.join(b, "k").where("seq_a < seq_b").groupBy("seq_a", "seq_b").agg(F.count("*").alias("n_common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    common = pairs_within(skew_join(one, n.select("h"), "h"), "k", "h").groupBy("a", "b").agg(F.count("*").alias("n_common"))
+    side = lambda s: n.select(F.col("h").alias(s), F.col("n").alias(f"n{s}"))
+    both = skew_join(skew_join(materialize(common), side("a"), "a"), side("b"), "b").withColumnsRenamed({"a": "seq_a", "b": "seq_b"})
     return both.where("na > n_common and nb > n_common").select("seq_a", "seq_b", "n_common", (F.col("na") - F.col("n_common")).alias("only_a"), (F.col("nb") - F.col("n_common")).alias("only_b"))
 
 
