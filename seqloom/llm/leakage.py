@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, rows_of, skew_join, spread_join
 
 
 class FMIndex:
@@ -127,64 +127,75 @@ def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def near_matches(train: list[bytes], held: list[bytes], share: float, stride: int = 3) -> pd.DataFrame:
-    """All (t, h, edits, matched, spans) with edit distance of at most ``share`` of the longer.
-
-    ``held`` is indexed; ``train`` is streamed through backward search at every ``stride``-th end, deep enough that no
-    common block of the guaranteed length slips through. All places of the found interval are located, widened to
-    maximal matches along their diagonals and merged into spans per pair before the edit distance is computed.
-    """
-    empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("t", "h", "edits", "matched", "spans")})
-    if not train or not held:
-        return empty
-    fm = FMIndex(held)
-    hm, hn = _padded(held)
-    depth = max(2, int(least_block(hn, share).min()) - stride + 1)
-    parts = []
-    per = max(1, int(4_000_000 // max(1, np.mean([len(t) for t in train]))))
-    for s0 in range(0, len(train), per):
-        tm, tn = _padded(train[s0 : s0 + per])
-        joined = fm.code[np.frombuffer(b"\0".join(train[s0 : s0 + per]) + b"\0", np.uint8)]
-        joined = np.where(np.frombuffer(b"\0".join(train[s0 : s0 + per]) + b"\0", np.uint8) == 0, -1, joined)
-        starts = np.cumsum([0, *(tn + 1)])[:-1]
-        owner = np.repeat(np.arange(len(tn)), tn + 1)
-        offset = np.arange(len(joined)) - starts[owner]
-        ends = np.flatnonzero((offset >= depth - 1) & (offset < tn[owner]) & ((offset - depth + 1) % stride == 0))
-        for e0 in range(0, len(ends), 2_000_000):
-            at, lo, hi = fm.search(joined, ends[e0 : e0 + 2_000_000], depth)
-            if not len(at):
-                continue
-            n = hi - lo
-            cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 3_000_000), side="left")
-            for a, b in zip(cuts, [*cuts[1:], len(n)]):
-                if b <= a:
+class HeldIndex:
+    """Held texts behind one full-text index, built once and searched by any number of batches of training texts."""
+
+    def __init__(self, held: list[bytes], share: float, stride: int = 3) -> None:
+        self.fm, self.share, self.stride = FMIndex(held), share, stride
+        self.text, self.size = _padded(held)
+        self.depth = max(2, int(least_block(self.size, share).min()) - stride + 1)
+
+    def matches(self, train: list[bytes]) -> pd.DataFrame:
+        """All (t, h, edits, matched, spans) with edit distance of at most ``share`` of the longer.
+
+        ``train`` is streamed through backward search at every ``stride``-th end, deep enough that no
+        common block of the guaranteed length slips through. All places of the found interval are located, widened to
+        maximal matches along their diagonals and merged into spans per pair before the edit distance is computed.
+        """
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("t", "h", "edits", "matched", "spans")})
+        if not train:
+            return empty
+        fm, hm, hn, share, stride, depth = self.fm, self.text, self.size, self.share, self.stride, self.depth
+        parts = []
+        per = max(1, int(4_000_000 // max(1, np.mean([len(t) for t in train]))))
+        for s0 in range(0, len(train), per):
+            tm, tn = _padded(train[s0 : s0 + per])
+            letters = np.frombuffer(b"\0".join(train[s0 : s0 + per]) + b"\0", np.uint8)
+            joined = np.where(letters == 0, -1, fm.code[letters])
+            starts = np.cumsum([0, *(tn + 1)])[:-1]
+            owner = np.repeat(np.arange(len(tn)), tn + 1)
+            offset = np.arange(len(joined)) - starts[owner]
+            ends = np.flatnonzero((offset >= depth - 1) & (offset < tn[owner]) & ((offset - depth + 1) % stride == 0))
+            for e0 in range(0, len(ends), 2_000_000):
+                at, lo, hi = fm.search(joined, ends[e0 : e0 + 2_000_000], depth)
+                if not len(at):
                     continue
-                m = n[a:b]
-                where = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                place = fm.sa[where]
-                h = np.searchsorted(fm.starts, place, side="right") - 1
-                t = np.repeat(owner[at[a:b]], m)
-                diag = (place - fm.starts[h]) - (np.repeat(offset[at[a:b]], m) - depth + 1)
-                near = np.abs(hn[h] - tn[t]) <= np.floor(np.maximum(hn[h], tn[t]) * share + 1e-9)
-                near &= np.abs(diag) <= np.floor(np.maximum(hn[h], tn[t]) * share + 1e-9)
-                code = np.unique((t[near] << 44) | (h[near] << 20) | (diag[near] + (1 << 19)))
-                parts.append(_spans(code, tm, tn, hm, hn, depth, s0))
-    if not parts:
-        return empty
-    spans = pd.concat(parts).groupby(["t", "h", "diag"], sort=False).first().reset_index()
-    pairs = spans.groupby(["t", "h"], sort=False).agg(matched=("matched", "sum"), spans=("spans", "sum"), miss=("miss", "min")).reset_index()
-    t, h = pairs["t"].to_numpy(), pairs["h"].to_numpy()
-    tl = np.array([len(x) for x in train])
-    limit = np.floor(np.maximum(tl[t], hn[h]) * share + 1e-9).astype(int)
-    edits = np.where(pairs["miss"] <= limit, pairs["miss"], limit + 1).astype(np.int64)
-    # a gapless alignment only bounds the distance from above, which is all that the test needs; the rest is aligned
-    open_ = np.flatnonzero(edits > limit)
-    for s in range(0, len(open_), 20_000):
-        o = open_[s : s + 20_000]
-        am, an = _padded([train[i] for i in t[o]])
-        edits[o] = within_edits(am, an, hm[h[o]], hn[h[o]], limit[o])
-    ok = edits <= limit
-    return pd.DataFrame({"t": t[ok], "h": h[ok], "edits": edits[ok], "matched": pairs["matched"].to_numpy()[ok], "spans": pairs["spans"].to_numpy()[ok]})
+                n = hi - lo
+                cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 3_000_000), side="left")
+                for a, b in zip(cuts, [*cuts[1:], len(n)]):
+                    if b <= a:
+                        continue
+                    m = n[a:b]
+                    where = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                    place = fm.sa[where]
+                    h = np.searchsorted(fm.starts, place, side="right") - 1
+                    t = np.repeat(owner[at[a:b]], m)
+                    diag = (place - fm.starts[h]) - (np.repeat(offset[at[a:b]], m) - depth + 1)
+                    most = np.floor(np.maximum(hn[h], tn[t]) * share + 1e-9)
+                    near = (np.abs(hn[h] - tn[t]) <= most) & (np.abs(diag) <= most)
+                    code = np.unique((t[near] << 44) | (h[near] << 20) | (diag[near] + (1 << 19)))
+                    parts.append(_spans(code, tm, tn, hm, hn, depth, s0))
+        if not parts:
+            return empty
+        spans = pd.concat(parts).groupby(["t", "h", "diag"], sort=False).first().reset_index()
+        pairs = spans.groupby(["t", "h"], sort=False).agg(matched=("matched", "sum"), spans=("spans", "sum"), miss=("miss", "min")).reset_index()
+        t, h = pairs["t"].to_numpy(), pairs["h"].to_numpy()
+        tl = np.array([len(x) for x in train])
+        limit = np.floor(np.maximum(tl[t], hn[h]) * share + 1e-9).astype(int)
+        edits = np.where(pairs["miss"] <= limit, pairs["miss"], limit + 1).astype(np.int64)
+        # a gapless alignment only bounds the distance from above, which is all that the test needs; the rest is aligned
+        open_ = np.flatnonzero(edits > limit)
+        for s in range(0, len(open_), 20_000):
+            o = open_[s : s + 20_000]
+            am, an = _padded([train[i] for i in t[o]])
+            edits[o] = within_edits(am, an, hm[h[o]], hn[h[o]], limit[o])
+        ok = edits <= limit
+        return pd.DataFrame({"t": t[ok], "h": h[ok], "edits": edits[ok], "matched": pairs["matched"].to_numpy()[ok], "spans": pairs["spans"].to_numpy()[ok]})
+
+
+def near_matches(train: list[bytes], held: list[bytes], share: float, stride: int = 3) -> pd.DataFrame:
+    """``HeldIndex.matches`` for lists; the index is of ``held``."""
+    return HeldIndex(held if held else [b"\1"], share, stride).matches(train if held else [])
 
 
 def _spans(code: np.ndarray, tm, tn, hm, hn, depth: int, s0: int) -> pd.DataFrame:
@@ -208,46 +219,130 @@ def _spans(code: np.ndarray, tm, tn, hm, hn, depth: int, s0: int) -> pd.DataFram
     return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("t", "h", "diag", "matched", "spans", "miss")})
 
 
-def near_texts(train: DataFrame, held: DataFrame, *, share: float = 0.05, shard_chars: int = 6_000_000, chunk_chars: int = 12_000_000, band: float = 1.2) -> DataFrame:
+def minimizers(text: bytes, block: int) -> np.ndarray:
+    """Hashes of letter runs such that any stretch of ``block`` letters that two texts have in common gives both one of them."""
+    k = block // 2 + 1
+    w = block - k + 1
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(b) - k + 1
+    if n < w:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(1_000_003) + b[i : i + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    best, done = h, 1
+    while done < w:
+        step = min(done, w - done)
+        best = np.minimum(best[: len(best) - step], best[step:])
+        done += step
+    return np.unique(best).view(np.int64)
+
+
+def _route(train: DataFrame, held: DataFrame, blocks: dict[int, int], sizes: dict[int, int], shard_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``shard`` for texts of bands with several shards: (band, key, n, text, shard) of both sides.
+
+    Held texts with a common widespread minimizer are kept together (a family larger than a shard is cut by hash, small
+    ones share a shard), and a training text goes only to the shards that hold one of its minimizers: texts that are
+    nearly equal share one for certain.
+    """
+
+    def minis(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [minimizers(t.encode(), blocks[b]) for b, t in zip(pdf["band"], pdf["text"])]
+            m = [len(g) for g in got]
+            yield pd.DataFrame({"band": np.repeat(pdf["band"].to_numpy(), m), "key": np.repeat(pdf["key"].to_numpy(), m), "n": np.repeat(pdf["n"].to_numpy(), m), "m": np.concatenate([*got, np.zeros(0, np.int64)])})
+
+    def of(df: DataFrame) -> DataFrame:
+        kind = df.schema["key"].dataType.simpleString()
+        return df.select("band", "key", "n", "text").mapInPandas(minis, f"band int, key {kind}, n int, m bigint").withColumn("mk", F.xxhash64("band", "m")).drop("m")
+
+    hm = materialize(of(held))
+    spread = hm.groupBy("mk").agg(F.count("*").alias("c"))
+    family = skew_join(hm, spread, "mk").groupBy("band", "key", "n").agg(F.max(F.struct("c", "mk"))["mk"].alias("fam"))
+    family = materialize(family)
+    cuts = family.groupBy("fam").agg(F.ceil(F.sum("n") / shard_chars).alias("cuts"))
+    small = F.element_at(F.create_map(*[F.lit(x) for b, n in sizes.items() for x in (b, n)]), F.col("band"))
+    shard = F.when(F.col("cuts") == 1, F.pmod("fam", small)).otherwise(F.xxhash64("fam", F.pmod(F.xxhash64("key"), F.col("cuts"))))
+    placed = materialize(skew_join(family, cuts, "fam").select("band", "key", shard.cast("bigint").alias("shard")))
+    table = hm.join(placed, ["band", "key"]).select("mk", "shard").distinct().groupBy("mk").agg(F.collect_list("shard").alias("shards"))
+    sent = skew_join(materialize(of(train)), table, "mk").select("band", "key", F.explode("shards").alias("shard")).distinct()
+    return train.join(sent, ["band", "key"]), held.join(placed, ["band", "key"])
+
+
+def near_texts(train: DataFrame, held: DataFrame, *, share: float = 0.05, shard_chars: int = 6_000_000, chunk_chars: int = 60_000_000, band: float = 1.2) -> DataFrame:
     """Rows ``(train_key, held_key, edits, matched, spans)`` of distinct texts with edit distance at most ``share`` of the longer.
 
     Both inputs have ``key`` and ``text`` (key once each). Texts are put into bands by length; a training text goes to
-    the bands that near-equal texts can be in. A band's held texts are cut by hash into shards of about ``shard_chars``
-    letters, each indexed, and its training texts into chunks of about ``chunk_chars``, each streamed through every
-    shard of the band: blocks of bounded size, however large the band. Nulls and texts too short to be nearly equal without being
-    equal take no part; equal texts come out with 0 edits. ``edits`` is an upper bound where gapless alignment
-    already is close enough.
+    the bands that near-equal texts can be in. A band's held texts are cut into shards of about ``shard_chars`` letters,
+    and where there are several, similar texts share one and training texts go only to those that can hold a near-equal
+    one (``_route``). Every shard is indexed once, its training texts stream through the index in batches; a shard with
+    very many of them is served by several tasks (of up to ``chunk_chars`` letters), each with an index of its own.
+    Nulls and empty texts take no part; texts too short to be nearly equal without being equal are joined as they
+    are. Equal texts come out with 0 edits. ``edits`` is an upper bound where gapless alignment already is close enough.
     """
     short = int(math.ceil((1 - share) / share))
+    spark = train.sparkSession
+    tk, hk = train.schema["key"].dataType.simpleString(), held.schema["key"].dataType.simpleString()
     level = lambda n: F.floor(F.log(n.cast("double")) / math.log(band)).cast("int")
     prep = lambda df: df.where(F.length("text") > 0).withColumn("n", F.octet_length("text"))
-    held = prep(held).where(F.col("n") >= short - 1).withColumn("band", level(F.col("n")))
-    train = prep(train).where(F.col("n") >= (short - 1) * (1 - share))
+    train, held = prep(train), prep(held)
+    tiny = lambda df, name: df.where(F.col("n") < short).select("text", F.col("key").alias(name), "n")
+    equal = tiny(train, "train_key").join(tiny(held, "held_key").drop("n"), "text").select("train_key", "held_key", F.lit(0).cast("bigint").alias("edits"), F.col("n").cast("bigint").alias("matched"), F.lit(1).cast("bigint").alias("spans"))
+    held = held.where(F.col("n") >= short).withColumn("band", level(F.col("n")))
+    train = train.where(F.col("n") >= short * (1 - share) - 1e-9)
     spread = F.sequence(level(F.greatest(F.ceil(F.col("n") * (1 - share)) - 1, F.lit(1))), level(F.floor(F.col("n") / (1 - share)) + 1))
     train = train.withColumn("band", F.explode(spread))
     # one row per band, of which there are as many as powers of ``band`` up to the longest text
-    held_size = {r[0]: r[1] for r in held.groupBy("band").agg(F.sum("n")).collect()}
-    if not held_size:
-        spark = held.sparkSession
-        return spark.createDataFrame([], f"train_key {train.schema['key'].dataType.simpleString()}, held_key {held.schema['key'].dataType.simpleString()}, edits bigint, matched bigint, spans bigint")
-    train = train.where(F.col("band").isin(list(held_size)))
-    train_size = {r[0]: r[1] for r in train.groupBy("band").agg(F.sum("n")).collect()}
-    per = lambda sizes, one: F.element_at(F.create_map(*[F.lit(int(x)) for b in held_size for x in (b, max(1, math.ceil(sizes.get(b, 0) / one)))]), F.col("band"))
-    shards, chunks = per(held_size, shard_chars), per(train_size, chunk_chars)
-    h = held.select("band", F.pmod(F.xxhash64("key"), shards).alias("shard"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("key").alias("held_key"), F.col("text").alias("held_text"))  # own names: cogroup mixes up columns of one source
-    t = train.select("band", F.explode(F.sequence(F.lit(0).cast("bigint"), (shards - 1).cast("bigint"))).alias("shard"), F.pmod(F.xxhash64("key"), chunks).cast("int").alias("chunk"), "key", "text")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"train_key": [], "held_key": [], "edits": [], "matched": [], "spans": []})
-        # one order, so that the result doesn't depend on how rows arrive
-        left, right = left.sort_values("key", ignore_index=True), right.sort_values("held_key", ignore_index=True)
-        m = near_matches([x.encode() for x in left["text"]], [x.encode() for x in right["held_text"]], share)
-        return pd.DataFrame({"train_key": left["key"].to_numpy()[m["t"]], "held_key": right["held_key"].to_numpy()[m["h"]], "edits": m["edits"], "matched": m["matched"], "spans": m["spans"]})
-
-    g = ["band", "shard", "chunk"]
-    tk, hk = train.schema["key"].dataType.simpleString(), held.schema["key"].dataType.simpleString()
-    return t.groupBy(*g).cogroup(h.groupBy(*g)).applyInPandas(run, f"train_key {tk}, held_key {hk}, edits bigint, matched bigint, spans bigint")
+    bands = {r[0]: r[1:] for r in held.groupBy("band").agg(F.sum("n"), F.min("n"), F.max("n")).collect()}
+    if not bands:
+        return equal
+    train = train.where(F.col("band").isin(list(bands)))
+    many = {b: math.ceil(s / shard_chars) for b, (s, _, _) in bands.items() if s > shard_chars}
+    one = ~F.col("band").isin(list(many)) if many else F.lit(True)
+    t, h = (df.where(one).select("band", "key", "n", "text", F.lit(0).cast("bigint").alias("shard")) for df in (train, held))
+    if many:
+        blocks = {b: int(least_block(np.arange(bands[b][1], bands[b][2] + 1), share).min()) for b in many}
+        rt, rh = _route(*(df.where(F.col("band").isin(list(many))) for df in (train, held)), blocks, many, shard_chars)
+        t, h = t.unionByName(rt.select(*t.columns)), h.unionByName(rh.select(*h.columns))
+    t, h = (materialize(df.withColumn("job", F.xxhash64("band", "shard"))) for df in (t, h))
+    jobs = t.groupBy("job").agg(F.sum("n").alias("tn")).join(h.groupBy("job").agg(F.sum("n").alias("hn")), "job")
+    slots = spark.sparkContext.defaultParallelism
+    work = t.agg(F.sum("n")).first()[0] or 0
+    # a task's batch of training letters isn't smaller than the index it needs, so that building indexes never dominates
+    jobs = materialize(jobs.select("job", F.ceil(F.col("tn") / F.least(F.lit(chunk_chars), F.greatest(F.lit(work // (3 * slots)), F.col("hn"), F.lit(500_000)))).cast("int").alias("salts")))
+    n_tasks = jobs.agg(F.sum("salts")).first()[0]
+    if not n_tasks:
+        return equal
+    kt = tk if tk == hk else "string"  # one column without nulls, which would turn whole numbers into floats
+    hs = h.join(jobs, "job").select("job", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("key").cast(kt).alias("key"), "text")
+    ts = skew_join(t, jobs, "job").select("job", F.pmod(F.xxhash64("key", F.lit(3)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("key").cast(kt).alias("key"), "text")
+    rows = hs.unionByName(ts).repartition(int(min(50_000, 2 * n_tasks)), "job", "salt").sortWithinPartitions("job", "salt", "kind", "key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, names, texts, index = None, [], [], None
+        for pdf in batches:
+            place = list(zip(pdf["job"], pdf["salt"], pdf["kind"]))
+            cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = pdf.iloc[a:b]
+                if place[a][:2] != now:
+                    now, names, texts, index = place[a][:2], [], [], None
+                if place[a][2] == 0:
+                    names.extend(part["key"])
+                    texts.extend(x.encode() for x in part["text"])
+                    continue
+                if not texts:
+                    continue
+                index = index or HeldIndex(texts, share)
+                m = index.matches([x.encode() for x in part["text"]])
+                yield pd.DataFrame({"train_key": part["key"].to_numpy()[m["t"]], "held_key": np.array(names)[m["h"]], "edits": m["edits"], "matched": m["matched"], "spans": m["spans"]})
+
+    found = rows.mapInPandas(run, f"train_key {kt}, held_key {kt}, edits bigint, matched bigint, spans bigint")
+    return found.withColumns({"train_key": F.col("train_key").cast(tk), "held_key": F.col("held_key").cast(hk)}).unionByName(equal)
 
 
 def _sides(df: DataFrame) -> Column:
@@ -255,17 +350,8 @@ def _sides(df: DataFrame) -> Column:
     return F.struct(side("a").alias("a"), side("b").alias("b"))
 
 
-def cross_split_pairs(pairs: DataFrame, *, train: str = "train", held: tuple[str, ...] = ("val", "test"), share: float = 0.05) -> DataFrame:
-    """Rows ``(train_row, held_row, exact)``: a training row and a held-out row whose two sides equal or nearly equal each other, in either order.
-
-    Sides are equal if ``prot_hash`` or ``ctg_dna_hash`` agree (null agrees with nothing) and nearly equal if the edit
-    distance of ``prot_seq`` is at most ``share`` of the longer. ``exact`` tells pairs that need no near-equality.
-
-    Rows with the same two sides are one class. Distinct sequences are matched by ``near_texts``; the keys a held-out
-    side goes by (its hashes and those of its near matches) make, with the other side's, a composite key that is joined
-    with the training classes' own. A hot sequence alone therefore joins nothing: only pairs that agree on both sides
-    meet. Class pairs are expanded to rows at the end.
-    """
+def _class_pairs(pairs: DataFrame, train: str, held: tuple[str, ...], share: float) -> tuple[DataFrame, DataFrame]:
+    """``side`` (pair_row_id, part 't' or 'h', cls) and ``met`` (t, h, exact): classes of rows with the same two sides, and those that meet."""
     rows = pairs.where(F.col("split_name").isin(train, *held)).select("pair_row_id", F.when(F.col("split_name") == train, F.lit("t")).otherwise(F.lit("h")).alias("part"), _sides(pairs).alias("x"), "prot_seq_a", "prot_seq_b")
     rows = rows.withColumn("cls", F.xxhash64("x.a.p", "x.a.c", "x.a.s", "x.b.p", "x.b.c", "x.b.s", F.concat_ws("\x1f", *[F.col(f"x.{a}.{b}").isNull().cast("string") for a in "ab" for b in "pcs"])))
     side = materialize(rows.select("pair_row_id", "part", "x", "cls"))
@@ -276,35 +362,74 @@ def cross_split_pairs(pairs: DataFrame, *, train: str = "train", held: tuple[str
         .agg(F.min("v.text").alias("text"))
     )
     seqs = materialize(seqs)
-    near = materialize(near_texts(seqs.where("part = 't'").drop("part"), seqs.where("part = 'h'").drop("part"), share=share).select("train_key", "held_key"))
+    near = near_texts(seqs.where("part = 't'").drop("part"), seqs.where("part = 'h'").drop("part"), share=share).where("train_key <> held_key").select("train_key", "held_key")
+    near = materialize(near)  # equal sequences need no search: they have one key
     cls = materialize(side.groupBy("part", "cls").agg(F.first("x").alias("x")))
 
-    hashes = lambda s: [F.when(F.col(f"x.{s}.{k}").isNotNull(), F.xxhash64(F.lit(k), F.col(f"x.{s}.{k}"))) for k in "pc"]
-    keyed = lambda k, e: F.struct(k.alias("k"), F.lit(e).alias("e"))
-    clean = lambda arr: F.array_distinct(F.filter(arr, lambda v: v["k"].isNotNull()))
-    own = lambda s: clean(F.array(*[keyed(h, True) for h in hashes(s)], keyed(F.when(F.col(f"x.{s}.s").isNotNull(), F.xxhash64(F.lit("s"), F.col(f"x.{s}.s"))), False)))
-    t = cls.where("part = 't'").select("cls", own("a").alias("ka"), own("b").alias("kb"))
-    t = t.select(F.col("cls").alias("t"), F.explode("ka").alias("l"), "kb").select("t", F.col("l.k").alias("l"), F.explode("kb").alias("r")).select("t", "l", F.col("r.k").alias("r"))
-    names = near.groupBy("held_key").agg(F.collect_set(F.xxhash64(F.lit("s"), F.col("train_key"))).alias("names"))  # as many as a sequence has distinct near-equals
-    h = cls.where("part = 'h'").select("cls", "x", F.col("x.a.s").alias("sa"), F.col("x.b.s").alias("sb"))
+    named = lambda k, s: F.when(F.col(f"x.{s}.{k}").isNotNull(), F.xxhash64(F.lit(k), F.col(f"x.{s}.{k}")))
+    own = lambda s: F.filter(F.array(*[F.struct(named(k, s).alias("k"), F.lit(k != "s").alias("e")) for k in "pcs"]), lambda v: v["k"].isNotNull())
+    t = cls.where("part = 't'").select(F.col("cls").alias("t"), F.explode(own("a")).alias("l"), own("b").alias("kb")).select("t", F.col("l.k").alias("l"), F.explode("kb").alias("r")).select("t", F.xxhash64("l", "r.k").alias("lr"))
+    h = cls.where("part = 'h'").select(F.col("cls").alias("h"), own("a").alias("ka"), own("b").alias("kb"), F.col("x.a.s").alias("sa"), F.col("x.b.s").alias("sb"))
+    both = lambda df: df.select("h", F.explode(F.array(F.xxhash64("l.k", "r.k"), F.xxhash64("r.k", "l.k"))).alias("lr"), (F.col("l.e") & F.col("r.e")).alias("exact"))
+    keys = both(h.select("h", F.explode("ka").alias("l"), "kb").select("h", "l", F.explode("kb").alias("r")))
+    # one side by name, the other nearly equal: as many keys as that side has near-equals
+    for s, o in (("a", "b"), ("b", "a")):
+        close = spread_join(h.select("h", f"k{o}", F.col(f"s{s}").alias("held_key")), near, "held_key")
+        keys = keys.unionByName(both(close.select("h", F.struct(F.xxhash64(F.lit("s"), F.col("train_key")).alias("k"), F.lit(False).alias("e")).alias("l"), F.explode(f"k{o}").alias("r"))))
+    named_met = spread_join(keys.distinct(), materialize(t), "lr").groupBy("t", "h").agg(F.max("exact").alias("exact"))
+
+    # both sides nearly equal: candidates come from the side that offers fewer, the other side is looked up in the near matches
+    ends = lambda part: cls.where(F.col("part") == part).select("cls", F.col("x.a.s").alias("sa"), F.col("x.b.s").alias("sb")).where("sa is not null and sb is not null")
+    turned = ends("t").select("sa", "sb").unionByName(ends("t").select(F.col("sb").alias("sa"), F.col("sa").alias("sb"))).distinct()
+    turned = materialize(turned.select(F.col("sa").alias("t1"), F.col("sb").alias("t2")))
+    offer = skew_join(near, turned.groupBy(F.col("t1").alias("train_key")).agg(F.count("*").alias("d")), "train_key", at_most=rows_of(near)).groupBy("held_key").agg(F.sum("d").alias("w"))
+    offer = materialize(offer)
+    asks = materialize(ends("h").select("sa", "sb").distinct())
+    n_asks = rows_of(asks)
     for s in "ab":
-        h = h.join(names.select(F.col("held_key").alias(f"s{s}"), F.col("names").alias(f"n{s}")), f"s{s}", "left")
-    wide = lambda s: F.concat(clean(F.array(*[keyed(v, True) for v in hashes(s)])), F.transform(F.coalesce(F.col(f"n{s}"), F.array().cast("array<bigint>")), lambda k: keyed(k, False)))
-    h = h.select("cls", wide("a").alias("ka"), wide("b").alias("kb"))
-    h = h.select(F.col("cls").alias("h"), F.explode("ka").alias("l"), "kb").select("h", "l", F.explode("kb").alias("r"))
-    exact = F.col("l.e") & F.col("r.e")
-    h = h.select("h", F.col("l.k").alias("l"), F.col("r.k").alias("r"), exact.alias("exact")).unionByName(h.select("h", F.col("r.k").alias("l"), F.col("l.k").alias("r"), exact.alias("exact"))).distinct()
-    met = materialize(t.join(h, ["l", "r"]).groupBy("t", "h").agg(F.max("exact").alias("exact")))
+        asks = skew_join(asks, offer.select(F.col("held_key").alias(f"s{s}"), F.col("w").alias(f"w{s}")), f"s{s}", at_most=n_asks)
+    first = F.col("wa") <= F.col("wb")
+    asks = materialize(asks.select("sa", "sb", F.when(first, F.col("sa")).otherwise(F.col("sb")).alias("held_key"), F.when(first, F.col("sb")).otherwise(F.col("sa")).alias("other"), first.alias("first")))
+    tried = spread_join(spread_join(asks, near, "held_key").withColumnRenamed("train_key", "t1"), turned, "t1")
+    tried = tried.select("sa", "sb", F.xxhash64("other", "t2").alias("q"), F.when(F.col("first"), F.col("t1")).otherwise(F.col("t2")).alias("ta"), F.when(F.col("first"), F.col("t2")).otherwise(F.col("t1")).alias("tb"))
+    good = skew_join(materialize(tried), near.select(F.xxhash64("held_key", "train_key").alias("q")), "q").select(F.xxhash64("sa", "sb").alias("hs"), F.xxhash64("ta", "tb").alias("ts")).distinct()
+    of_h = ends("h").select(F.xxhash64("sa", "sb").alias("hs"), F.col("cls").alias("h"))
+    of_t = ends("t").select(F.explode(F.array_distinct(F.array(F.xxhash64("sa", "sb"), F.xxhash64("sb", "sa")))).alias("ts"), F.col("cls").alias("t"))
+    near_met = spread_join(spread_join(materialize(good), of_h, "hs", at_most=rows_of(cls)), of_t, "ts", at_most=2 * rows_of(cls)).select("t", "h", F.lit(False).alias("exact"))
+    met = materialize(named_met.unionByName(near_met).groupBy("t", "h").agg(F.max("exact").alias("exact")))
+    return side, met
+
+
+def cross_split_pairs(pairs: DataFrame, *, train: str = "train", held: tuple[str, ...] = ("val", "test"), share: float = 0.05) -> DataFrame:
+    """Rows ``(train_row, held_row, exact)``: a training row and a held-out row whose two sides equal or nearly equal each other, in either order.
+
+    Sides are equal if ``prot_hash`` or ``ctg_dna_hash`` agree (null agrees with nothing) and nearly equal if the edit
+    distance of ``prot_seq`` is at most ``share`` of the longer. ``exact`` tells pairs whose both sides agree by hash.
+
+    Rows with the same two sides are one class. Distinct sequences are matched by ``near_texts``. Keys that a side goes by
+    (hashes, own sequence) make, with the other side's, a composite key; with one side nearly equal there are as many
+    as it has near-equals. Where both sides are only nearly equal, candidates come from the side that offers fewer
+    training pairs and are looked up by the other: the product of two sets of near-equals is never built. A hot
+    sequence alone joins nothing. Class pairs are expanded to rows at the end, hot classes in chunks.
+    """
+    side, met = _class_pairs(pairs, train, held, share)
+    n = rows_of(side)
     of = lambda p, c, n: side.where(F.col("part") == p).select(F.col("cls").alias(c), F.col("pair_row_id").alias(n))
-    return met.join(of("t", "t", "train_row"), "t").join(of("h", "h", "held_row"), "h").select("train_row", "held_row", "exact")
+    return spread_join(spread_join(met, of("t", "t", "train_row"), "t", at_most=n), of("h", "h", "held_row"), "h", at_most=n).select("train_row", "held_row", "exact")
 
 
-def overlap_report(pairs: DataFrame, **options) -> DataFrame:
-    """Per ``split_name`` and ``source`` of the held-out rows: ``n_rows``, ``n_overlapping``, ``n_exact``, ``n_train_rows`` and the overlapping share."""
-    found = cross_split_pairs(pairs, **options).groupBy(F.col("held_row").alias("pair_row_id")).agg(F.max("exact").alias("exact"), F.count("*").alias("n"))
-    held = pairs.where(F.col("split_name").isin(*options.get("held", ("val", "test")))).select("pair_row_id", "split_name", "source")
+def overlap_report(pairs: DataFrame, *, train: str = "train", held: tuple[str, ...] = ("val", "test"), share: float = 0.05) -> DataFrame:
+    """Per ``split_name`` and ``source`` of the held-out rows: ``n_rows``, ``n_overlapping``, ``n_exact``, ``n_train_rows`` and the overlapping share.
+
+    Training rows are counted by the sizes of their classes; no pair of rows is made.
+    """
+    side, met = _class_pairs(pairs, train, held, share)
+    size = side.where("part = 't'").groupBy(F.col("cls").alias("t")).agg(F.count("*").alias("k"))
+    found = met.join(size, "t").groupBy(F.col("h").alias("cls")).agg(F.max("exact").alias("exact"), F.sum("k").alias("n"))
+    rows = pairs.where(F.col("split_name").isin(*held)).select("pair_row_id", "split_name", "source")
+    rows = rows.join(side.where("part = 'h'").select("pair_row_id", "cls"), "pair_row_id")
     return (
-        held.join(found, "pair_row_id", "left")
+        skew_join(materialize(rows), found, "cls", "left")
         .groupBy("split_name", "source")
         .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.count_if(F.coalesce("exact", F.lit(False))).alias("n_exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_train_rows"))
         .withColumn("overlapping_share", F.col("n_overlapping") / F.col("n_rows"))

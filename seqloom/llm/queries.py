@@ -140,6 +140,8 @@ WITH base AS (SELECT DISTINCT assembly_id AS k, prot_hash AS i FROM protein_fina
 m AS (SELECT i, count(*) AS n FROM base GROUP BY i), t AS (SELECT count(DISTINCT k) AS n FROM base),
 p AS (SELECT x.i AS a, y.i AS b, count(*) AS n_ab FROM base x JOIN base y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 5)
 """
+_NEAR = """t AS (SELECT DISTINCT q FROM s WHERE split_name = 'train' AND q <> ''), h AS (SELECT DISTINCT q FROM s WHERE split_name IN ('val', 'test') AND q <> ''),
+near AS (SELECT t.q AS tq, h.q AS hq FROM t JOIN h ON abs(length(t.q) - length(h.q)) <= 0.05 * greatest(length(t.q), length(h.q)) WHERE t.q = h.q OR levenshtein(t.q, h.q) <= 0.05 * greatest(length(t.q), length(h.q)))"""
 _SIDES = "SELECT 'a' AS s, pair_row_id AS id, split_name, prot_hash_a AS p, ctg_dna_hash_a AS c, prot_seq_a AS q FROM segment_pairs UNION ALL SELECT 'b', pair_row_id, split_name, prot_hash_b, ctg_dna_hash_b, prot_seq_b FROM segment_pairs"
 
 
@@ -173,6 +175,15 @@ m AS (SELECT x.id AS tr, x.s AS ts, y.id AS hd, y.s AS hs FROM s x JOIN s y ON x
 UNION SELECT x.id, x.s, y.id, y.s FROM s x JOIN s y ON x.c = y.c WHERE x.split_name = 'train' AND y.split_name IN ('val', 'test')
 UNION SELECT x.id, x.s, y.id, y.s FROM s x JOIN near ON x.q = near.tq JOIN s y ON y.q = near.hq WHERE x.split_name = 'train' AND y.split_name IN ('val', 'test'))
 SELECT DISTINCT least(x.tr, x.hd) AS pair_row_id_a, greatest(x.tr, x.hd) AS pair_row_id_b FROM m x JOIN m y ON x.tr = y.tr AND x.hd = y.hd AND x.ts < y.ts AND x.hs <> y.hs""",
+        "p7_overlap": f"""
+WITH s AS ({_SIDES}), {_NEAR},
+m AS (SELECT x.id AS tr, x.s AS ts, y.id AS hd, y.s AS hs, true AS e FROM s x JOIN s y ON x.p = y.p WHERE x.split_name = 'train' AND y.split_name IN ('val', 'test')
+UNION SELECT x.id, x.s, y.id, y.s, true FROM s x JOIN s y ON x.c = y.c WHERE x.split_name = 'train' AND y.split_name IN ('val', 'test')
+UNION SELECT x.id, x.s, y.id, y.s, false FROM s x JOIN near ON x.q = near.tq JOIN s y ON y.q = near.hq WHERE x.split_name = 'train' AND y.split_name IN ('val', 'test')),
+f AS (SELECT x.tr, x.hd, max((x.e AND y.e)::INT) AS e FROM m x JOIN m y ON x.tr = y.tr AND x.hd = y.hd AND x.ts < y.ts AND x.hs <> y.hs GROUP BY 1, 2),
+g AS (SELECT hd, max(e) AS e, count(*) AS n FROM f GROUP BY 1)
+SELECT split_name, source, count(*) AS n_rows, count(n) AS n_overlapping, count_if(coalesce(e, 0) = 1) AS n_exact, coalesce(sum(n), 0)::BIGINT AS n_train_rows, count(n) / count(*) AS overlapping_share
+FROM segment_pairs LEFT JOIN g ON pair_row_id = hd WHERE split_name IN ('val', 'test') GROUP BY 1, 2""",
         "p10_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, i::BIGINT, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM w x JOIN w y ON x.g = y.g AND x.doc_id < y.doc_id""",
