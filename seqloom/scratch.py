@@ -58,7 +58,7 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = 200_000, at_most: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = 200_000, at_most: int | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join on ``key``, where ``right`` has each key once and ``left`` may hold most of its rows under a few keys.
 
     Keys with more than ``hot_rows`` rows on the left are joined against a broadcast of their own right rows; everything
@@ -66,8 +66,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     other one holds less than 1/10,000 of the rows, which is no skew.
     ``left`` is read twice and should be materialised or cheap. Null keys match nothing. ``at_most`` is an upper bound of the
     rows of ``left`` where it is known (a materialised table brings its own): up to ``hot_rows`` no key can be hot.
+    ``hot`` are the keys to split off where the caller has counted them already.
     """
-    hot = [r[0] for r in _hot(left, key, hot_rows, at_most)]
+    if hot is None:
+        hot = [r[0] for r in _hot(left, key, hot_rows, at_most)]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
