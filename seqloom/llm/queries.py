@@ -187,4 +187,16 @@ FROM segment_pairs LEFT JOIN g ON pair_row_id = hd WHERE split_name IN ('val', '
         "p10_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, i::BIGINT, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM w x JOIN w y ON x.g = y.g AND x.doc_id < y.doc_id""",
+        "p10_shared": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(text, i::BIGINT, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT g FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w SEMI JOIN r ON w.g = r.g),
+st AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM hit GROUP BY doc_id, run),
+mk AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM st),
+mg AS (SELECT doc_id, s, e, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS m FROM mk),
+one AS (SELECT doc_id, m, max(e) - min(s) AS n FROM mg GROUP BY 1, 2), c AS (SELECT doc_id, count(*) AS k, sum(n) AS c, max(n) AS big FROM one GROUP BY 1),
+cp AS (SELECT text, count(*) - 1 AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT d.doc_id, d.n AS n_chars, coalesce(c.c, 0)::BIGINT AS shared_chars, CASE WHEN d.n > 0 THEN coalesce(c.c, 0) / d.n ELSE 0.0 END AS shared_share, coalesce(c.k, 0) AS n_spans, coalesce(c.big, 0) AS longest_span, coalesce(cp.copies, 0) AS copies
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN cp ON cp.text = d.text""",
     }

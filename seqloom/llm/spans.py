@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..scratch import materialize
+from ..scratch import drop_scratch, materialize, pairs_within, rows_of, skew_join, spread_join
 
 GRAM = 8  # code points whose hash decides where a token may begin
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -102,36 +103,6 @@ def _edges(least: int, window: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, did), those whose key has two or more did. Rows of a key's first did are held back, others stream through."""
-    held: list[pa.RecordBatch] = []
-    last_key = last_did = None
-    open_ = False  # the last key is known to have two did
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, did = b.column("key").to_numpy(), b.column("did").to_numpy()
-        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        group = np.cumsum(new)  # 0: goes on from the batch before
-        change = np.concatenate([[not new[0] and did[0] != last_did], (did[1:] != did[:-1]) & ~new[1:]])
-        multi = np.zeros(group[-1] + 1, bool)
-        np.logical_or.at(multi, group, change)
-        if not new[0]:
-            multi[0] |= open_
-        if held and multi[0]:
-            yield from held
-        if new[0] or multi[0] or group[-1] > 0:
-            held = []
-        keep = multi[group]
-        if keep.any():
-            yield b.filter(pa.array(keep))
-        open_ = bool(multi[group[-1]])
-        if not open_:
-            tail = np.flatnonzero(group == group[-1])[0]
-            held.append(b.slice(tail))
-        last_key, last_did = key[-1], did[-1]
-
-
 def _boundary_keys(least: int, window: int):
     """Rows of (unitig, x, y, two hashes) for every way to widen an occurrence by x code points to the left and y to the right."""
 
@@ -170,7 +141,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, w
 
     Texts are cut into content-defined tokens (at most ``window`` code points apart, cut by what stands there and not by
     position). Runs of tokens that any sufficiently long span must hold are the edges of a De Bruijn graph; an
-    edge seen in one text only is dropped. Edge f follows e on an unbranched path if e always goes on with f and f
+    edge seen in one text only is dropped (least and largest text of an edge are pre-aggregated, hot edges joined apart). Edge f follows e on an unbranched path if e always goes on with f and f
     always comes from e; such paths are compacted into one unitig by joins on the edge table, so that a long shared
     passage is one row per text however many edges it has. Every occurrence of a unitig is then checked at its source
     coordinates: it is widened there, in each way that makes ``least`` code points, and only texts that agree on the
@@ -183,36 +154,40 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, w
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("did", F.xxhash64("text"))
     texts = src.where("text is not null").select("doc_id", "did", F.char_length("text").alias("n_chars"))
     long = src.where(F.char_length("text") >= least).select("did", "text")
-    edges = long.mapInArrow(_edges(least, window), "key bigint, did bigint, i int, s int, e int")
-    rep = materialize(edges.repartition("key").sortWithinPartitions("key", "did", "i").mapInArrow(_repeated, "key bigint, did bigint, i int, s int, e int").distinct())
-
-    nxt = rep.select("did", (F.col("i") - 1).alias("i"), F.col("key").alias("nxt"))
-    prv = rep.select("did", (F.col("i") + 1).alias("i"), F.col("key").alias("prv"))
-    walk = materialize(rep.join(nxt, ["did", "i"], "left").join(prv, ["did", "i"], "left"))
+    edges = materialize(long.mapInArrow(_edges(least, window), "key bigint, did bigint, i int, s int, e int"))
+    repeated = materialize(edges.groupBy("key").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.count("*").alias("n")).where("d0 <> d1").select("key", "n"))
+    # copies of a text give the same edges
+    rep = materialize(skew_join(edges, repeated.select("key"), "key", hot=_hot_keys(repeated, "key")).distinct())
+    drop_scratch(edges.sparkSession, edges)
+
+    text_order = W.partitionBy("did").orderBy("i")
+    beside = lambda f, step, name: F.when(f("i").over(text_order) == F.col("i") + step, f("key").over(text_order)).alias(name)
+    walk = materialize(rep.select("*", beside(F.lead, 1, "nxt"), beside(F.lag, -1, "prv")))
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c))
-    nodes = materialize(walk.groupBy("key").agg(only("nxt").alias("only_nxt"), only("prv").alias("only_prv")))
+    nodes = materialize(walk.groupBy("key").agg(only("nxt").alias("only_nxt"), only("prv").alias("only_prv"), F.count("*").alias("n")))
     # f goes on from e where both agree that they have no other neighbour
-    inner = nodes.where("only_prv is not null").join(nodes.select(F.col("key").alias("only_prv"), F.col("only_nxt").alias("back")), "only_prv").where("back = key").select("key", F.lit(True).alias("inner"))
-    flagged = walk.join(inner, "key", "left").select("did", "i", "s", "e", "key", F.coalesce("inner", F.lit(False)).alias("inner"))
+    heads = nodes.where("only_prv is not null").select("key", "only_prv")
+    back = nodes.where("only_nxt is not null").select(F.col("key").alias("only_prv"), F.col("only_nxt").alias("back"))
+    inner = skew_join(heads, back, "only_prv", at_most=rows_of(nodes)).where("back = key").select("key", F.lit(True).alias("inner"))
+    flagged = skew_join(walk, inner, "key", "left", hot=_hot_keys(nodes, "key")).select("did", "i", "s", "e", "key", F.coalesce("inner", F.lit(False)).alias("inner"))
     # within a text the unitigs are the stretches from one path head to the next; a head names its unitig
-    runs = flagged.groupBy("did").agg(F.array_sort(F.collect_list(F.struct("i", "s", "e", "key", "inner"))).alias("w"))
-    step = F.aggregate(
-        "w",
-        F.array().cast("array<struct<u:bigint,s:int,e:int>>"),
-        lambda acc, x: F.when(
-            x["inner"] & (F.size(acc) > 0),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["u"].alias("u"), F.element_at(acc, -1)["s"].alias("s"), x["e"].alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["key"].alias("u"), x["s"].alias("s"), x["e"].alias("e"))))),
-    )
-    occ = materialize(runs.select("did", step.alias("occ")))
-    wide = long.dropDuplicates(["did"]).join(occ, "did").mapInPandas(_boundary_keys(least, window), "u bigint, x int, y int, h1 bigint, h2 bigint, did bigint, s int, e int")
-    wide = materialize(wide)
-    g = ["u", "x", "y", "h1", "h2"]
-    shared = wide.groupBy(*g).agg(F.min("did").alias("d0"), F.max("did").alias("d1")).where("d0 <> d1").select(*g)
-    spans = wide.join(shared, g).select(F.xxhash64(*g).alias("span"), "did", "s", "e", "x", "y")
+    run = F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(text_order.rowsBetween(W.unboundedPreceding, 0))
+    unitigs = flagged.withColumn("run", run).groupBy("did", "run").agg(F.min(F.struct("i", "key", "s")).alias("m"), F.max("e").alias("e"))
+    occ = materialize(unitigs.groupBy("did").agg(F.array_sort(F.collect_list(F.struct(F.col("m.key").alias("u"), F.col("m.s").alias("s"), "e"))).alias("occ")))
+    wide = long.join(occ.select("did"), "did", "left_semi").dropDuplicates(["did"]).join(occ, "did").mapInPandas(_boundary_keys(least, window), "u bigint, x int, y int, h1 bigint, h2 bigint, did bigint, s int, e int")
+    wide = materialize(wide.select(F.xxhash64("u", "x", "y", "h1", "h2").alias("span"), F.xxhash64("h2", "h1", "y", "x", "u").alias("check"), "did", "s", "e"))
+    # of the ways to widen, those with the same texts tell the same; a span is named by two hashes, of which one is joined on
+    groups = materialize(wide.groupBy("span", "check").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.count("*").alias("n")).where("d0 <> d1").select("span", "check", "n"))
+    keep = groups.select("span", F.col("check").alias("sure"))
+    spans = skew_join(wide, keep, "span", hot=_hot_keys(groups, "span")).where("check = sure").select("span", "did", "s", "e")
     return spans, texts
 
 
+def _hot_keys(counts: DataFrame, key: str, rows: int = 200_000) -> list:
+    """Of (key, n) the keys with more than ``rows`` rows: at most as many as the table has rows / ``rows``, the 10,000 largest."""
+    return [r[0] for r in counts.where(F.col("n") > rows).orderBy(F.desc("n"), key).limit(10_000).select(key).collect()]
+
+
 def documents_sharing(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, window: int = 32) -> DataFrame:
     """Rows ``(doc_id_a, doc_id_b)``, a < b: documents that share a verbatim stretch of at least ``least`` code points.
 
@@ -220,14 +195,17 @@ def documents_sharing(docs: DataFrame, doc_id: str, text: str, *, least: int = 2
     by definition; the pairs of texts come from their common spans, those of documents from the texts' copies.
     """
     spans, texts = shared_spans(docs, doc_id, text, least=least, window=window)
-    texts = materialize(texts.where(F.col("n_chars") >= least))
+    of = materialize(texts.where(F.col("n_chars") >= least).select("did", "doc_id").distinct())
     member = materialize(spans.select("span", "did").distinct())
-    pair = member.join(member.withColumnRenamed("did", "other"), "span").where("did < other").select("did", "other").distinct()
-    of = texts.select("did", "doc_id").distinct()
-    across = pair.join(of.withColumnRenamed("doc_id", "p"), "did").join(of.withColumnsRenamed({"did": "other", "doc_id": "q"}), "other").select("p", "q")
-    copies = of.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did")
-    twin = of.join(copies, "did")
-    same = twin.withColumnRenamed("doc_id", "p").join(twin.withColumnRenamed("doc_id", "q"), "did").select("p", "q")
+    # spans of the very same texts give the same pairs: one of them is enough
+    sets = member.withColumn("h", F.xxhash64("did")).withColumn("g", F.xxhash64("did", F.lit(1)))
+    sets = sets.groupBy("span").agg(F.count("*").alias("n"), F.bit_xor("h").alias("a"), F.bit_xor("g").alias("b"), F.min("did").alias("c"))
+    kept = sets.groupBy("n", "a", "b", "c").agg(F.min("span").alias("span")).select("span")
+    few = materialize(skew_join(member, kept, "span"))
+    pair = materialize(pairs_within(few, "span", "did").select(F.col("a").alias("did"), F.col("b").alias("other")).distinct())
+    n = rows_of(of)
+    across = spread_join(spread_join(pair, of.withColumnRenamed("doc_id", "p"), "did", at_most=n), of.withColumnsRenamed({"did": "other", "doc_id": "q"}), "other", at_most=n).select("p", "q")
+    same = pairs_within(of, "did", "doc_id").select(F.col("a").alias("p"), F.col("b").alias("q"))
     return across.unionByName(same).where("p <> q").select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()
 
 
@@ -239,26 +217,20 @@ def shared_share(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, w
     Null texts have null ``n_chars`` and zeros.
     """
     spans, texts = shared_spans(docs, doc_id, text, least=least, window=window)
-    ordered = spans.select("did", "s", "e").distinct().groupBy("did").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("l"))
-    merged = F.aggregate(
-        "l",
-        F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] <= F.coalesce(F.element_at(acc, -1)["e"], F.lit(-1))),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    cover = ordered.select("did", merged.alias("m")).select(
-        "did", F.size("m").alias("k"), F.aggregate("m", F.lit(0), lambda a, x: a + x["e"] - x["s"]).alias("c"), F.aggregate("m", F.lit(0), lambda a, x: F.greatest(a, x["e"] - x["s"])).alias("big")
-    )
+    # a stretch that begins behind the end of all before it opens a new merged one
+    order = W.partitionBy("did").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.select("did", "s", "e").distinct().withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1))
+    merged = marked.withColumn("m", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("did", "m").agg((F.max("e") - F.min("s")).alias("n"))
+    cover = merged.groupBy("did").agg(F.count("*").cast("int").alias("k"), F.sum("n").alias("c"), F.max("n").alias("big"))
+    texts = materialize(texts)
     copies = texts.groupBy("did").agg((F.count("*") - 1).alias("copies"))
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     full = (F.col("copies") > 0) & (F.col("n_chars") >= least)
     zero = lambda c: F.coalesce(c, F.lit(0))
+    named = materialize(ids.join(texts.distinct(), "doc_id", "left"))
     return (
-        ids.join(texts.distinct(), "doc_id", "left")
-        .join(copies, "did", "left")
-        .join(cover, "did", "left")
+        skew_join(skew_join(named, copies, "did", "left"), cover, "did", "left", at_most=rows_of(named))
         .select(
             "doc_id",
             "n_chars",
