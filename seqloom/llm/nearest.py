@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..scratch import materialize, skew_join
 
 
-#: Shard centres at most: every vector is compared with all of them.
-MOST_PIVOTS = 4096
-
-
 class VPTree:
     """Vantage-point tree over unit vectors, searched by blocks of queries.
 
@@ -115,20 +111,22 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pivots(vectors: DataFrame, dim: int, shards: int, sample: int) -> np.ndarray:
-    """Shard centres from a bounded sample (at most ``sample`` vectors, the first by hash) by farthest-point choice."""
-    rows = vectors.select("e").orderBy(F.xxhash64("name")).limit(sample).toPandas()
-    x = _matrix(rows["e"])
-    chosen, d = [0], _dist(x, x[:1])[:, 0]
-    rng = np.random.default_rng(11)
-    while len(chosen) < min(shards, len(x)) and d.max() > 0:
-        chosen.append(int(rng.choice(len(x), p=d**2 / (d**2).sum())))
-        d = np.minimum(d, _dist(x, x[chosen[-1:]])[:, 0])
-    return x[chosen]
+def _pivots(vectors: DataFrame, shards: int) -> np.ndarray:
+    """Shard centres: vectors of a sample (20,000 or eight per shard, the first by hash), moved to the means of the sample's cells five times."""
+    rows = vectors.select("e").orderBy(F.xxhash64("name")).limit(max(20_000, 8 * shards)).toPandas()
+    x = _matrix(rows["e"]).astype(np.float32)
+    c = x[np.sort(np.random.default_rng(11).choice(len(x), min(shards, len(x)), replace=False))]
+    for _ in range(5):
+        own = np.concatenate([(x[s : s + 4096] @ c.T).argmax(1) for s in range(0, len(x), 4096)])
+        mean = np.zeros_like(c)
+        np.add.at(mean, own, x)
+        size = np.linalg.norm(mean, axis=1, keepdims=True)
+        c = np.where(size > 1e-6, mean / np.maximum(size, 1e-6), c)
+    return c.astype(np.float64)
 
 
 def nearest_vectors(
-    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, shard_factor: float | None = None, max_distance: float = 2.0, per_shard: int = 2_000, sample: int = 20_000, queries: DataFrame | None = None
+    vectors: DataFrame, name: str, emb: str, *, k: int = 5, factor: float = 1.0, shard_factor: float | None = None, max_distance: float = 2.0, per_shard: int | None = None, queries: DataFrame | None = None
 ) -> DataFrame:
     """Rows ``(query, neighbour, similarity, rank)``: for every vector the ``k`` others most similar by cosine.
 
@@ -137,9 +135,10 @@ def nearest_vectors(
     ``max_distance`` limits the search to a ball (Euclidean between unit vectors; 2 takes all). ``queries`` (one column
     of names) limits who asks, never who is found.
 
-    Vectors go to the nearest of S pivots, S growing with the row count so that a shard has about ``per_shard`` rows;
-    the pivots come from a bounded sample, all rows are indexed. Shards that still are too large are cut by hash into
-    further trees with the same centre. Every shard builds a vantage-point tree. Queries search their home tree first;
+    Vectors go to the nearest of S pivots, S growing as the square root of ten times the row count (or so that a shard has
+    about ``per_shard`` rows), which balances the comparisons with pivots against those inside shards. The pivots come
+    from a sample of 8 S vectors, all rows are indexed. Shards that still are too large are cut by hash into further
+    trees with the same centre. Every shard builds a vantage-point tree. Queries search their home tree first;
     the distance of the k-th find is the ball for the second round, in which a query goes only to the shards that
     the triangle inequality (centre and radius, counted over all rows) can't rule out, with ``factor`` times that ball.
     ``factor`` 1 gives the exact result; below 1 it trades recall for fewer visits.
@@ -152,7 +151,8 @@ def nearest_vectors(
         return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, similarity double, rank int")
     dim, n = top[0], rows.count()
     rows = rows.where(F.size("e") == dim)
-    centres = _pivots(rows, dim, min(MOST_PIVOTS, max(1, math.ceil(n / per_shard))), sample)
+    per_shard = per_shard or max(64, math.ceil(math.sqrt(n / 10)))
+    centres = _pivots(rows, max(1, math.ceil(n / per_shard)))
 
     def home(it):
         for pdf in it:
@@ -167,8 +167,14 @@ def nearest_vectors(
     radius = np.full(len(centres), -np.inf)
     radius[stats["shard"]] = stats["radius"]
     cuts = np.ones(len(centres), int)
-    cuts[stats["shard"]] = np.ceil(stats["n"] / (3 * per_shard)).astype(int)
-    cut = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), F.col("shard") + 1)
+    cuts[stats["shard"]] = np.ceil(stats["n"] / (8 * per_shard)).astype(int)
+
+    def per_centre(name: str, values) -> DataFrame:
+        """One row per shard, of which there are the square root of the rows."""
+        return F.broadcast(placed.sparkSession.createDataFrame(pd.DataFrame({"shard": np.arange(len(centres), dtype=np.int32), name: np.asarray(values, dtype=np.int32)})))
+
+    placed = placed.join(per_centre("cut", cuts), "shard")
+    cut = F.col("cut")
     data = placed.withColumn("part", F.pmod(F.hash("name"), cut)).select("shard", "part", "name", "e")
     asks = placed if queries is None else placed.join(queries.select(F.col(queries.columns[0]).alias("label")).distinct(), "label", "left_semi")
 
@@ -183,18 +189,18 @@ def nearest_vectors(
 
     def run(where: DataFrame) -> DataFrame:
         """Cogroup trees with the queries sent to them; hot shards' queries are salted, the tree is built per salt."""
-        asked = where.withColumn("salt", F.pmod(F.hash("name", F.lit(1)), F.element_at(salts, F.col("shard") + 1)))
+        asked = where.join(per_centre("salts", salts), "shard").withColumn("salt", F.pmod(F.hash("name", F.lit(1)), F.col("salts")))
         asked = asked.select(F.col("shard").alias("qs"), F.col("part").alias("qp"), F.col("salt").alias("qt"), F.col("name").alias("q"), F.col("e").alias("x"), "tau")  # own names: cogroup mixes up columns of one source
-        trees = data.withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("shard") + 1) - 1)))
+        trees = data.join(per_centre("salts", salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         trees = trees.select("shard", "part", "salt", F.col("name").alias("t"), F.col("e").alias("y"))
         return trees.groupBy("shard", "part", "salt").cogroup(asked.groupBy("qs", "qp", "qt")).applyInPandas(tree_search, "q bigint, f bigint, dist double")
 
     def salted(counts: dict[int, int]):
-        return F.array(*[F.lit(max(1, math.ceil(counts.get(s, 0) / (6 * per_shard)))) for s in range(len(centres))])
+        return [max(1, math.ceil(counts.get(s, 0) / 20_000)) for s in range(len(centres))]
 
     parts = F.explode(F.sequence(F.lit(0), cut - 1)).alias("part")
     salts = salted(dict(zip(stats["shard"], stats["n"])))
-    first = materialize(run(asks.select("shard", "name", "e", F.lit(2.0).alias("tau"), parts)))
+    first = materialize(run(asks.select("shard", "name", "e", F.lit(float(max_distance)).alias("tau"), parts)))
     tau = first.groupBy("q").agg(F.sort_array(F.collect_list("dist")).alias("l")).select("q", F.when(F.size("l") >= k, F.element_at("l", k)).otherwise(F.lit(2.0)).alias("tau"))
     known = asks.join(tau, F.col("name") == F.col("q"), "left").select("name", "e", F.col("shard").alias("home"), F.least(F.coalesce("tau", F.lit(2.0)), F.lit(float(max_distance))).alias("tau"))
 
@@ -217,7 +223,7 @@ def nearest_vectors(
     if len(centres) > 1:
         sent = materialize(known.mapInPandas(reach, "shard int, name bigint, tau double"))
         salts = salted({r[0]: r[1] for r in sent.groupBy("shard").count().collect()})
-        both = first.unionByName(run(sent.join(asks.select("name", "e"), "name").select("shard", "name", "e", "tau", parts)))
+        both = first.unionByName(run(sent.join(asks.select("name", "e"), "name").join(per_centre("cut", cuts), "shard").select("shard", "name", "e", "tau", parts)))
     best = (
         both.groupBy("q")
         .agg(F.array_sort(F.collect_list(F.struct(F.round("dist", 9).alias("d"), F.col("f").alias("f"), F.col("dist").alias("x")))).alias("l"))
@@ -229,7 +235,7 @@ def nearest_vectors(
     return skew_join(materialize(out), labels.withColumnsRenamed({"name": "f", "label": "neighbour"}), "f").select("query", "neighbour", "similarity", "rank")
 
 
-def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 0.4, shard_factor: float = 0.17) -> DataFrame:
+def similar_pairs(vectors: DataFrame, name: str, emb: str, *, k: int = 5, least_similarity: float = 0.9, factor: float = 0.4, shard_factor: float = 0.1) -> DataFrame:
     """Rows ``(a, b)``, a < b: names with cosine of at least ``least_similarity``, one among the other's ``k`` most similar."""
     ball = math.sqrt(2 - 2 * least_similarity) + 1e-7
     near = nearest_vectors(vectors, name, emb, k=k, factor=factor, shard_factor=shard_factor, max_distance=ball).where(F.col("similarity") >= least_similarity - 1e-9)
