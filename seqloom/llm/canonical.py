@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from ..scratch import materialize, skew_join
 
 MAX_EDITS = 2
+ABBREVIATED = 0.75  # similarity of an abbreviation; a repaired token that scores less counts as one
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -67,7 +68,7 @@ def token_similarity(token: str, term: str) -> float:
         d = edit_distance(token, term)
         if d <= edit_limit(len(term)):
             best = 1 - d / (len(term) + 1) - (0.02 if token[0] != term[0] else 0.0)
-    return max(best, 0.75) if _abbreviates(token, term) else best
+    return max(best, ABBREVIATED) if _abbreviates(token, term) else best
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,9 +102,14 @@ def _repairs(tokens: DataFrame, vocabulary: DataFrame, *, short: bool) -> DataFr
     if short:
         f = lambda df, c: df.withColumn("f", F.substring(c, 1, 1))
         v = f(vocabulary.withColumnRenamed("token", "term"), "term")
-        s = f(tokens.where((F.char_length("token") <= 4) & ~F.col("token").rlike(r"^\d")), "token")
-        pairs = pairs.unionByName(s.join(v, ["field", "f"]).where(F.char_length("term") > F.char_length("token")).select("field", "token", "term"))
-    return pairs.distinct().mapInPandas(_score, "field string, token string, term string, sim double").where("sim > 0")
+        # an abbreviation has its first two letters in the term: the second anywhere behind the first
+        later = F.array_append(F.filter(F.array_distinct(F.split(F.substring("term", 2, 10_000), "")), lambda c: c != ""), F.lit(""))
+        v = v.withColumn("g", F.explode(later))
+        s = f(tokens.where((F.char_length("token") <= 4) & ~F.col("token").rlike(r"^\d")), "token").withColumn("g", F.substring("token", 2, 1))
+        pairs = pairs.unionByName(s.join(v, ["field", "f", "g"]).where(F.char_length("term") > F.char_length("token")).select("field", "token", "term"))
+    # a swap of neighbours is two of the edits counted here, so nothing that repairs is beyond twice the limit
+    fit = (F.levenshtein("token", "term", 2 * MAX_EDITS) >= 0) | ((F.char_length("token") <= 4) & F.lit(short))
+    return pairs.where(fit).distinct().mapInPandas(_score, "field string, token string, term string, sim double").where("sim > 0")
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,19 +117,20 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for links, weights, n_value in zip(pdf["links"], pdf["weights"], pdf["n_value"]):
-            used, dot, norm_v = set(), 0.0, 0.0
+            used, dot, norm_v, sure = set(), 0.0, 0.0, False
             for k, w in enumerate(weights):
                 best = max(((x["sim"], -x["pos"]) for x in links if x["k"] == k and x["pos"] not in used), default=None)
                 if best is None:
                     break
                 used.add(-best[1])
+                sure |= best[0] > ABBREVIATED
                 dot += w * w * best[0]
                 norm_v += w * w
             else:
                 mean = sum(w * w for w in weights)
                 # tokens of the value that the entry doesn't have are qualifiers and weigh little
                 norm_v += (n_value - len(used)) * 0.02 * mean
-                out.append(dot / (mean**0.5 * norm_v**0.5))
+                out.append(dot / (mean**0.5 * norm_v**0.5) if sure else None)
                 continue
             out.append(None)
         yield pdf.assign(score=pd.Series(out, dtype="float64")).drop(columns=["links", "weights", "n_value"])
@@ -134,7 +141,8 @@ def map_to_canonical(values: DataFrame, terms: DataFrame) -> DataFrame:
 
     ``terms`` has ``term_id, field_name, term, also_known_as``. A value means an entry if every token of the entry's
     term or of one of its other names is found among the value's own: equal, within the edit limit of its length, or
-    abbreviated to up to four letters from the same start. Order, case, marks, punctuation and further tokens don't
+    abbreviated to up to four letters from the same start, but one token at least must be more than abbreviated: letters
+    alone name nothing. Order, case, marks, punctuation and further tokens don't
     matter; numbers must be equal, and where a name holds numbers the value may hold no others. Names written without
     gaps are repaired as a whole. ``term_id`` is 0 where nothing fits.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, skew_join
+from ..scratch import materialize, rows_of, skew_join
 
 
 def local_roots(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -42,13 +42,15 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": names[moved], "root": names[root[moved]]})
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, *, edges_per_cell: int = 500_000, least_blocks: int = 3, vertices: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, *, edges_per_cell: int = 500_000, least_blocks: int = 1, vertices: DataFrame | None = None) -> DataFrame:
     """Rows ``(vertex, group_id)``: the smallest vertex (by code point or number) of the group of each vertex.
 
     Vertices are hashed into B blocks and edges into the B x B grid of block pairs, so that the edges of one hot vertex
     spread over B cells. Every cell runs union-find on its own edges; the representatives found in a vertex's row and
     column of cells are exchanged by taking their minimum, the edges are contracted on to them, and the rounds go on
-    until no edge joins two different representatives. B grows with the edge count, so a cell's memory doesn't.
+    until no edge joins two different representatives. B grows with the edge count, and a cell that still holds more
+    than twice ``edges_per_cell``, as those of a hub do, is cut by edge hash (any part of the edges has its own forest),
+    so a cell's memory doesn't grow.
 
     Nulls on either side link nothing, but the other side still is a vertex; self-links and repeated or turned links
     change nothing; an empty table gives an empty result. ``vertices`` (one column) adds vertices without links.
@@ -61,12 +63,18 @@ def connected_components(edges: DataFrame, src: str, dst: str, *, edges_per_cell
     all_v = all_v.where(F.col("v").isNotNull()).distinct()
     now = materialize(raw.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     steps: list[DataFrame] = []
-    size = now.count()
+    size = rows_of(now)
     while size:
         blocks = max(least_blocks, math.ceil(math.sqrt(2 * size / edges_per_cell)))
         block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(len(steps))), F.lit(blocks))  # noqa: B023, E731
-        grid = now.withColumn("a", block("u")).withColumn("b", block("v"))
-        forest = materialize(grid.groupBy(F.least("a", "b").alias("row"), F.greatest("a", "b").alias("col")).applyInPandas(lambda pdf: _cell(pdf), f"v {kind}, root {kind}"))
+        grid = now.withColumn("a", block("u")).withColumn("b", block("v")).select("u", "v", F.least("a", "b").alias("row"), F.greatest("a", "b").alias("col"))
+        part = F.lit(0)
+        if blocks > 1:
+            full = grid.groupBy("row", "col").agg(F.count("*").alias("n")).where(F.col("n") > 2 * edges_per_cell).collect()  # at most size / (2 * edges_per_cell) cells
+            if full:
+                cuts = F.create_map(*[F.lit(x) for r in full for x in (r["row"] * blocks + r["col"], math.ceil(r["n"] / edges_per_cell))])
+                part = F.pmod(F.xxhash64("u", "v"), F.coalesce(F.try_element_at(cuts, F.col("row") * blocks + F.col("col")), F.lit(1)))
+        forest = materialize(grid.withColumn("part", part).groupBy("row", "col", "part").applyInPandas(lambda pdf: _cell(pdf), f"v {kind}, root {kind}"))
         parent = materialize(forest.groupBy("v").agg(F.min("root").alias("p")))
         steps.append(parent)
         up = parent.withColumnRenamed("v", "root").withColumnRenamed("p", "q")
@@ -78,7 +86,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, *, edges_per_cell
             .select(F.least("pv", "pr").alias("u"), F.greatest("pv", "pr").alias("v"))
             .distinct()
         )
-        size = now.count()
+        size = rows_of(now)
     label = None
     for parent in reversed(steps):
         if label is None:

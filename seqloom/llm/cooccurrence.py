@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, skew_join
+from ..scratch import materialize, rows_of, skew_join
 
 
 def _products(left: str, right: str):
@@ -31,7 +31,7 @@ def cooccurrence(baskets: DataFrame, basket: str, item: str, *, min_count: int =
     if min_lift is not None:
         counts = counts.where(F.col("n_i") * F.lit(float(min_lift)) <= F.lit(float(n)))
     counts = materialize(counts)
-    rows = materialize(skew_join(base, counts.select("i"), "i"))
+    rows = materialize(skew_join(base, counts.select("i"), "i", hot=[r[0] for r in counts.where("n_i > 200000").orderBy(F.desc("n_i"), "i").limit(10_000).select("i").collect()]))
     sizes = rows.groupBy("k").agg(F.count("*").alias("size"))
     big = sizes.where(F.col("size") > chunk)
     small = rows.join(big.select("k"), "k", "left_anti").groupBy("k").agg(F.array_sort(F.collect_list("i")).alias("l"))
@@ -40,7 +40,7 @@ def cooccurrence(baskets: DataFrame, basket: str, item: str, *, min_count: int =
     pairs = small.where(F.size("l") > 1).select(F.explode(inner).alias("p"))
 
     parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    placed = skew_join(rows, big, "k").select("k", "i", parts.alias("m")).withColumn("c", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
+    placed = skew_join(rows, big, "k", at_most=rows_of(base)).select("k", "i", parts.alias("m")).withColumn("c", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
     blocks = placed.select("k", "i", "c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("d"))
     halves = blocks.groupBy("k", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y")).agg(
         F.collect_list(F.when(F.col("c") <= F.col("d"), F.col("i"))).alias("l"), F.collect_list(F.when(F.col("c") > F.col("d"), F.col("i"))).alias("r")
@@ -57,7 +57,9 @@ def cooccurrence(baskets: DataFrame, basket: str, item: str, *, min_count: int =
         .where(F.col("n_ab") >= min_count)
     )
     side = lambda s: counts.select(F.col("i").alias(f"item_{s}"), F.col("n_i").alias(f"n_{s}"))
-    out = counted.join(side("a"), "item_a").join(side("b"), "item_b").withColumn("n", F.lit(int(n)).cast("bigint"))
+    counted = materialize(counted)
+    n_pairs = rows_of(counted)
+    out = skew_join(skew_join(counted, side("a"), "item_a"), side("b"), "item_b", at_most=n_pairs).withColumn("n", F.lit(int(n)).cast("bigint"))
     joint = F.col("n_ab").cast("double") * F.col("n")
     alone = F.col("n_a").cast("double") * F.col("n_b")
     if min_lift is not None:

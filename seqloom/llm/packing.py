@@ -38,24 +38,25 @@ def pack_items(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return slots
 
 
-def fill_containers(items: DataFrame, item_id: str, size: str, containers: DataFrame, *, windows_per_shard: int = 192) -> DataFrame:
+def fill_containers(items: DataFrame, item_id: str, size: str, containers: DataFrame, *, windows_per_shard: int = 192, items_per_shard: int = 20_000) -> DataFrame:
     """Rows ``(container_kind, window_id, item_id, piece, piece_start, piece_size)``: every item once per container kind.
 
     ``containers`` is a small fixed table of ``container_kind, capacity_tokens``. An item larger than the capacity, and no
     other, is split: into full windows of its own and a rest that is packed like an item. Items of size 0 or null fill
     nothing and are left out, as are null ids and kinds without a positive capacity; repeated rows are items of their own.
 
-    Items are hashed into shards of about ``windows_per_shard`` windows, so a shard's size is bounded and its last,
-    partly filled windows weigh little; every shard is packed by ``pack_items``.
+    Items are hashed into shards of about ``windows_per_shard`` windows, or of ``items_per_shard`` items where those are
+    small, so a shard's size is bounded and its last, partly filled windows weigh little; every shard is packed by
+    ``pack_items``.
     """
     kinds = [(r[0], int(r[1])) for r in containers.distinct().collect() if r[0] is not None and r[1] and r[1] > 0]
     kt = items.schema[item_id].dataType.simpleString()
     schema = f"container_kind string, window_id string, item_id {kt}, piece int, piece_start bigint, piece_size bigint"
     src = items.where(F.col(item_id).isNotNull() & (F.col(size) > 0)).select(F.col(item_id).alias("item_id"), F.col(size).cast("bigint").alias("n"))
-    total = src.agg(F.sum("n")).first()[0]
+    total, n_items = src.agg(F.sum("n"), F.count("*")).first()
     if not kinds or not total:
         return items.sparkSession.createDataFrame([], schema)
-    table = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("cap"), F.lit(max(1, math.ceil(total / (c * windows_per_shard)))).alias("shards")) for k, c in kinds])
+    table = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("cap"), F.lit(max(1, math.ceil(total / (c * windows_per_shard)), math.ceil(n_items / items_per_shard))).alias("shards")) for k, c in kinds])
     each = src.select("item_id", "n", F.explode(table).alias("t")).select("item_id", "n", "t.*").withColumn("shard", F.pmod(F.xxhash64("item_id"), F.col("shards")))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -43,7 +43,8 @@ def _record_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _record_groups(spark, d)
+    """The groups of the records as they were assigned to splits."""
+    return p3_splits(spark, d).select("record_id", "first_record_id")
 
 
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +56,18 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return skew_join(groups, splits, "first_record_id").select("record_id", "first_record_id", "split_name")
 
 
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per split: groups that are in another one too, and whether its rows are within the largest group of its target."""
+    from ..scratch import materialize
+
+    rows = materialize(p3_splits(spark, d))
+    groups = rows.groupBy("first_record_id").agg(F.count("*").alias("n"), F.min("split_name").alias("lo"), F.max("split_name").alias("hi"))
+    bound = groups.agg(F.max("n").alias("largest"), F.sum("n").alias("total"), F.count_if(F.col("lo") != F.col("hi")).alias("n_torn_groups"))
+    got = rows.groupBy("split_name").agg(F.count("*").alias("n"))
+    out = _table(spark, d, "split_targets").join(got, "split_name", "left").join(F.broadcast(bound))  # one row
+    return out.select("split_name", "n_torn_groups", (F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("total")) <= F.col("largest")).alias("near_target"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = None
     for field, table in (("geo_location_raw", "flu_genomes_metadata_parsed"), ("host_common_name", "flu_first_seg_meta"), ("passage", "flu_first_seg_meta")):
@@ -106,9 +119,33 @@ def _sized(df: DataFrame) -> DataFrame:
     return materialize(df)  # tokenized once, however often it is read
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per container kind: documents placed, windows above the capacity, texts split without need, and texts whose pieces don't add up."""
+    sized = _sized(with_token_counts(_table(spark, d, "documents"), "text", ["doc_id"]))
+    kinds = _table(spark, d, "token_containers")
+    got = _sized(fill_containers(sized, "doc_id", "n_tokens", kinds))
+    cap = F.broadcast(kinds)  # a small fixed table
+    windows = got.groupBy("container_kind", "window_id").agg(F.sum("piece_size").alias("used")).join(cap, "container_kind")
+    over = windows.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_over"))
+    items = got.groupBy("container_kind", F.col("item_id").alias("doc_id")).agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("placed"), F.max(F.col("piece_start") + F.col("piece_size")).alias("end"))
+    items = items.join(sized, "doc_id").join(cap, "container_kind").groupBy("container_kind").agg(
+        F.count("*").alias("n_documents"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("n_split_in_vain"),
+        F.count_if((F.col("placed") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens"))).alias("n_lost"),
+    )
+    return items.join(over, "container_kind").select("container_kind", "n_documents", "n_over", "n_split_in_vain", "n_lost")
+
+
+#: How the sources of the test tables come about (a parameter of the mix: the top level of its tree).
+DOMAINS = {"instrument": ("run_log", "fasta_dump"), "curation": ("curation_ticket", "cluster_audit", "reviewer_memo")}
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = _sized(with_token_counts(_table(spark, d, "documents"), "text", ["doc_id", "source", "lang"]))
-    return mix_sources(sized, "doc_id", "n_tokens", _table(spark, d, "mix_targets"), ("source", "lang"))
+    domain = F.lit("observation")
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col("source").isin(*sources), name).otherwise(domain)
+    return mix_sources(sized.withColumn("domain", domain), "doc_id", "n_tokens", _table(spark, d, "mix_targets"), ("domain", "lang", "source"), total="held")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +158,16 @@ def p9_mix_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source that is targeted and present: documents used too often, uses that repeat an epoch, and documents of another source."""
+    docs = _table(spark, d, "documents").select("doc_id", F.col("source").alias("of"))
+    targets = F.broadcast(_table(spark, d, "mix_targets"))  # a small fixed table
+    used = p9_mix(spark, d).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("epoch").alias("epochs"))
+    return used.join(docs, "doc_id").join(targets, "source").groupBy("source").agg(
+        F.count_if(F.col("n") > F.col("max_repeats")).alias("n_over"), F.count_if(F.col("n") != F.col("epochs")).alias("n_double"), F.count_if(F.col("of") != F.col("source")).alias("n_foreign")
+    )
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return documents_sharing(_table(spark, d, "documents"), "doc_id", "text", least=200)
 
@@ -131,7 +178,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_cooccurrence, p3_found, p3_splits, p4_found, p5_found, p5_nearest, p6_found, p7_found, p7_overlap, p8_containers, p8_fill, p9_mix, p9_mix_report, p10_found, p10_shared)
+    every = (p2_found, p2_cooccurrence, p3_found, p3_splits, p3_shares, p4_found, p5_found, p5_nearest, p6_found, p7_found, p7_overlap, p8_containers, p8_fill, p8_checks, p9_mix, p9_mix_report, p9_checks, p10_found, p10_shared)
     return {f.__name__: f for f in every}
 
 
@@ -187,6 +234,14 @@ FROM segment_pairs LEFT JOIN g ON pair_row_id = hd WHERE split_name IN ('val', '
         "p10_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, i::BIGINT, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM w x JOIN w y ON x.g = y.g AND x.doc_id < y.doc_id""",
+        "p3_shares": "SELECT split_name, 0::BIGINT AS n_torn_groups, true AS near_target FROM split_targets",
+        "p5_nearest": """
+WITH v AS (SELECT brc_fea_id AS id, min(emb)::DOUBLE[] AS e FROM master_esm2_embeddings WHERE emb IS NOT NULL AND brc_fea_id IS NOT NULL AND list_max(list_transform(emb, lambda x: abs(x))) > 0 GROUP BY 1),
+a AS (SELECT DISTINCT id, e FROM v JOIN master_esm2_embeddings m ON m.brc_fea_id = id WHERE m.row_idx % 50 = 0),
+s AS (SELECT a.id AS x, v.id AS y, list_cosine_similarity(a.e, v.e) AS c FROM a JOIN v ON a.id <> v.id)
+SELECT x AS brc_fea_id, y AS neighbour_id, c AS similarity, (row_number() OVER (PARTITION BY x ORDER BY c DESC, y))::INT AS rank FROM s QUALIFY rank <= 10""",
+        "p8_checks": "SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_split_in_vain, 0::BIGINT AS n_lost FROM token_containers WHERE capacity_tokens > 0",
+        "p9_checks": "SELECT source, 0::BIGINT AS n_over, 0::BIGINT AS n_double, 0::BIGINT AS n_foreign FROM mix_targets SEMI JOIN documents USING (source)",
         "p10_shared": """
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
 w AS (SELECT doc_id, i, substr(text, i::BIGINT, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
