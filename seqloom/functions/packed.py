@@ -68,8 +68,30 @@ def act(r: Rule, f: Callable) -> Rule:
     return rule
 
 
+def inside(a: str, b: str) -> Rule:
+    """Everything up to the bracket ``b`` that closes the one before; brackets within must pair, and the first can't be ``a`` again."""
+
+    def rule(s: str, p: int):
+        if s[p:].lstrip()[:1] == a:
+            return None
+        depth, q = 0, p
+        while q < len(s):
+            if s[q] == a:
+                depth += 1
+            elif s[q] == b:
+                if not depth:
+                    return s[p:q], q
+                depth -= 1
+            q += 1
+        return None
+
+    return rule
+
+
 class PackedGrammar:
-    """field <- space bracketed? list ; list <- (delimiters / item)* end ; item <- quoted / nested / bare.
+    """field <- bracketed / list ; bracketed <- open list close end ; list <- (delimiters / item)* end ; item <- quoted / bare.
+
+    Brackets are those around the whole field; a bracketed part of it belongs to its value.
 
     ``start`` is the pattern a bare value begins with, ``bare`` (optional) the pattern of a complete bare value.
     ``delimiters`` separate values only where the rest of the field goes on with a value, an opening quote, a further
@@ -103,16 +125,12 @@ class PackedGrammar:
         if bare:
             alternatives.append(act(seq(term(bare), ahead(after)), lambda x: (x[0].strip(), "bare")))
         self.item = choice(*alternatives, bare_rule)
-        self.bracket = [(re.compile(rf"\s*{re.escape(a)}(.*){re.escape(b)}\s*\Z", re.S), a, b) for a, b in ("[]", "{}", "()", "<>")]
+        bracketed = [act(seq(term(rf"\s*{re.escape(a)}"), inside(a, b), term(rf"{re.escape(b)}\s*\Z")), lambda x: (x[1], "bracketed")) for a, b in ("[]", "{}", "()", "<>")]
+        self.field = choice(*bracketed, lambda s, p: ((s[p:], None), len(s)))
 
     def parse(self, text: str) -> list[tuple[int, str, str, str | None]]:
         """(position from 1, value, kind, error or None) of every value of the field; blank pieces are no values."""
-        s, kind0 = text, None
-        for rx, a, b in self.bracket:
-            m = rx.match(s)
-            if m and a not in m.group(1).strip()[:1] and _balanced(m.group(1), a, b):
-                s, kind0 = m.group(1), "bracketed"
-                break
+        s, kind0 = self.field(text, 0)[0]
         out, p = [], 0
         while p < len(s):
             g = self.gap(s, p)
@@ -133,15 +151,6 @@ class PackedGrammar:
         return out
 
 
-def _balanced(s: str, a: str, b: str) -> bool:
-    depth = 0
-    for c in s:
-        depth += (c == a) - (c == b)
-        if depth < 0:
-            return False
-    return depth == 0
-
-
 def strain_grammar() -> PackedGrammar:
     """Strain names start with 'A/' or 'Influenza A virus'; they may hold any delimiter themselves."""
     return PackedGrammar(r"(?:A/|Influenza A virus)", r";|\||,|\t|\n|\r|//|/|&|\+")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,21 +163,60 @@ def kmers(seq: Name, k: int, letters: str = "ACGT") -> Column:
     return F.filter(windows, lambda w: w.rlike(f"^[{letters}]{{{k}}}$"))
 
 
+def _kmer_codes(text: str, k: int, code: np.ndarray) -> np.ndarray:
+    """The number of every window of ``k`` letters of the alphabet, in order; windows with another letter are left out."""
+    c = code[np.frombuffer(text.upper().encode("latin-1", "replace"), np.uint8)]
+    n = len(c) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    base, out, ok = int(code.max()) + 1, np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        x = c[i : i + n]
+        out = out * base + x
+        ok &= x >= 0
+    return out[ok]
+
+
+def kmer_rows(df: DataFrame, key: str, seq: str, k: int, letters: str = "ACGT") -> DataFrame:
+    """V-2 per row: (key, codes, counts), the numbers (base len(letters)) of its k-mers in rising order and how often each occurs.
+
+    One Arrow batch at a time, a vectorised pass per sequence; nothing is shuffled. Null sequences have empty arrays.
+    """
+    code = np.full(256, -1, np.int64)
+    code[np.frombuffer(letters.encode(), np.uint8)] = np.arange(len(letters))
+    kt = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(_kmer_codes(t or "", k, code), return_counts=True) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(c) for c, _ in got)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(g[i] for g in got)]).astype(np.int64))) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=[key, "codes", "counts"])
+
+    return df.select(key, F.col(seq).alias("_seq")).mapInArrow(run, f"`{key}` {kt}, codes array<bigint>, counts array<bigint>")
+
+
+def kmer_name(code: Name, k: int, letters: str = "ACGT") -> Column:
+    """V-1: the k-mer behind a number."""
+    c, n = _c(code), len(letters)
+    return F.concat(*[F.element_at(F.array(*[F.lit(x) for x in letters]), (F.floor(c / n**i) % n + 1).cast("int")) for i in reversed(range(k))])
+
+
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int, letters: str = "ACGT") -> DataFrame:
-    """V-2 in long form: (key, kmer, n)."""
-    return df.select(key, F.explode(kmers(seq, k, letters)).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    """V-2 in long form: (key, kmer, n); rows of one key are counted together."""
+    one = kmer_rows(df, key, seq, k, letters).select(key, F.explode(F.arrays_zip("codes", "counts")).alias("z"))
+    return one.groupBy(key, F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("n")).select(key, kmer_name("code", k, letters).alias("kmer"), "n")
 
 
 def kmer_features(df: DataFrame, key: str, seq: str, k: int, *, letters: str = "ACGT", norm: str = "none") -> DataFrame:
     """V-3: one sparse row per sequence, ``features map<index, value>`` with index = the k-mer as a number of base len(letters).
 
     ``norm`` is none, l1 or l2; a key without k-mers has an empty map. Rows of one key are counted together, null keys
-    are left out. Counts are made per (key, k-mer) with map-side combining.
+    are left out. Counts are made per row in Arrow batches, those of a key's rows are added up.
     """
-    at = F.create_map(*[v for i, c in enumerate(letters) for v in (F.lit(c), F.lit(i))])
-    index = F.aggregate(F.filter(F.split("kmer", ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda acc, c: acc * len(letters) + at[c])
     size = {"none": F.lit(1.0), "l1": F.sum("n").cast("double"), "l2": F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double"))}[norm]
-    g = kmer_counts(df, key, seq, k, letters).withColumn("i", index).groupBy(key).agg(F.collect_list(F.struct("i", "n")).alias("l"), size.alias("size"))
+    one = kmer_rows(df, key, seq, k, letters).select(key, F.explode(F.arrays_zip("codes", "counts")).alias("z"))
+    g = one.groupBy(key, F.col("z.codes").alias("i")).agg(F.sum("z.counts").alias("n")).groupBy(key).agg(F.collect_list(F.struct("i", "n")).alias("l"), size.alias("size"))
     vec = g.select(key, F.map_from_entries(F.transform("l", lambda e: F.struct(e["i"], e["n"] / F.col("size")))).alias("features"))
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     return keys.join(vec, key, "left").withColumn("features", F.coalesce("features", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>"))))
