@@ -224,15 +224,30 @@ def length_stats(df: DataFrame, by: str, seq: str) -> DataFrame:
     return x.groupBy(by).agg(F.count("*").alias("n_seqs"), F.min("n").alias("shortest"), p(0.25).alias("q25"), p(0.5).alias("median"), p(0.75).alias("q75"), F.max("n").alias("longest"), F.avg("n").alias("mean"))
 
 
-def regime_supply(cells: DataFrame) -> DataFrame:
-    """Ordered pairs of isolates available in each regime, from cell sizes alone: n(n-1) within, n1*n2 across."""
-    from ..functions.metadata import regime
-
-    n = cells.groupBy("cell").agg(F.count("*").alias("n"))  # as many rows as there are metadata combinations
-    a, b = n.select(F.col("cell").alias("a"), F.col("n").alias("na")), n.select(F.col("cell").alias("b"), F.col("n").alias("nb"))
-    same = F.to_json("a", {"ignoreNullFields": "false"}) == F.to_json("b", {"ignoreNullFields": "false"})
-    pairs = F.when(same, F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
-    return a.crossJoin(b).select(regime("a", "b").alias("regime"), pairs.alias("n")).groupBy("regime").agg(F.sum("n").alias("n_available"))
+def regime_supply(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Ordered pairs of different isolates available in each regime (per group ``by``), all eight rows of a group.
+
+    From marginal counts, without pairing cells: the isolates that agree on a set of known axes are the squared counts of
+    that set's values; those that agree on exactly these follow by inclusion and exclusion over the larger sets.
+    """
+    from ..functions.metadata import AXES
+    from ..schema import REGIMES
+
+    by = by or []
+    sets = [tuple(a for i, a in enumerate(AXES) if m >> i & 1) for m in range(8)]
+    n = cells.groupBy(*by, *[F.col(f"cell.{a}").alias(a) for a in AXES]).agg(F.count("*").alias("n"))
+    flat = n.select(*by, "n", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.when(F.lit(not s) | F.concat(*[F.col(a).isNotNull().cast("string") for a in s] or [F.lit("")]).isin("true" * len(s), ""), F.concat_ws("\x1f", *[F.col(a) for a in s])).alias("v")) for m, s in enumerate(sets)
+    ])).alias("x")).select(*by, "n", "x.*").where("v is not null")
+    known = sum((F.when(F.col(a).isNotNull(), 1 << i).otherwise(0) for i, a in enumerate(AXES)), F.lit(0))
+    least = flat.groupBy(*by, "m", "v").agg(F.sum("n").alias("n")).groupBy(*by, "m").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    alone = n.groupBy(*by, known.alias("m")).agg(F.sum("n").alias("q"))  # an isolate with itself agrees on all it knows
+    q, own = (lambda m: F.coalesce(F.max(F.when((F.col("m") == m) & ~F.col("own"), F.col("q"))), F.lit(0))), (lambda m: F.coalesce(F.max(F.when((F.col("m") == m) & F.col("own"), F.col("q"))), F.lit(0)))
+    both = least.withColumn("own", F.lit(False)).unionByName(alone.withColumn("own", F.lit(True))).groupBy(*by)
+    exact = lambda m: sum(((-1) ** bin(t ^ m).count("1") * q(t) for t in range(8) if t & m == m), F.lit(0)) - own(m)
+    name = {(): 0, ("host",): 1, ("hn_subtype",): 2, ("year",): 3, ("host", "hn_subtype"): 4, ("host", "year"): 5, ("hn_subtype", "year"): 6, ("host", "hn_subtype", "year"): 7}
+    wide = both.agg(*[exact(m).cast("bigint").alias(REGIMES[name[s]]) for m, s in enumerate(sets)])
+    return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(r).alias("regime"), F.col(r).alias("n_available")) for r in REGIMES])).alias("x")).select(*by, "x.*")
 
 
 def crosstab(df: DataFrame, row: str, col: str, cols: list[str]) -> DataFrame:

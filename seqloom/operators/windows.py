@@ -62,6 +62,15 @@ def hash_order_limit(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFram
     return df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(order_key(seed, key), key).limit(n)
 
 
+def positions_within(df: DataFrame, groups: list[str], key: str, seed: int = 0, name: str = "at") -> DataFrame:
+    """Position (from 0) of every row inside its group in seeded hash order of ``key``, in 256 slices a group, so that no task ranks a hot group."""
+    o = df.withColumn("_o", order_key(seed, key)).withColumn("_s", F.substring("_o", 1, 2))
+    slices = o.groupBy(*groups, "_s").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(W.partitionBy(*groups).orderBy("_s")) - F.col("_k")  # 256 rows a group at most
+    ranked = o.withColumn("_r", F.row_number().over(W.partitionBy(*groups, "_s").orderBy("_o", key)) - 1)
+    return ranked.join(slices.withColumn("_before", before).drop("_k"), [*groups, "_s"]).withColumn(name, (F.col("_r") + F.col("_before")).cast("bigint")).drop("_o", "_s", "_r", "_before")
+
+
 def row_positions(df: DataFrame, key: str, seed: int = 0, name: str = "pos", buckets: int = 4096) -> DataFrame:
     """Position (from 0) of every row in seeded hash order of a unique ``key``, without one global sort.
 
