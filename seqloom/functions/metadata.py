@@ -74,7 +74,7 @@ def stored_or_derived_regime(label: Name, stored: Name, derived: Name) -> Column
 
 def title_case(text: Name) -> Column:
     """Upper case after every non-letter, hyphens included; the rest lower."""
-    return F.array_join(F.transform(F.split(F.lower(_c(text)), r"(?<=[^\p{L}])|(?=[^\p{L}])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    return F.array_join(F.transform(F.split(F.lower(_c(text)), r"(?<=[^\p{L}])|(?=[^\p{L}])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def clean_host(host: Name) -> Column:

@@ -220,3 +220,27 @@ def kmer_features(df: DataFrame, key: str, seq: str, k: int, *, letters: str = "
     vec = g.select(key, F.map_from_entries(F.transform("l", lambda e: F.struct(e["i"], e["n"] / F.col("size")))).alias("features"))
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     return keys.join(vec, key, "left").withColumn("features", F.coalesce("features", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>"))))
+
+
+def clean_dna(df: DataFrame, seq: str, max_ambig_frac: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejects): rows whose share of ambiguous bases is at most ``max_ambig_frac``, and the others with ``ambig_frac``. Null and empty sequences have share 0."""
+    frac = dna_quality(seq)["ambig_frac"]
+    return df.where(frac <= max_ambig_frac), df.where(frac > max_ambig_frac).withColumn("ambig_frac", frac)
+
+
+def encode_codes(seq: Name, length: int, pad: int) -> Column:
+    """The code points of the first ``length`` letters, filled up with ``pad``; two sides padded differently never match in padding. Null is all padding."""
+    s = F.coalesce(_c(seq), F.lit(""))
+    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.when(i <= F.length(s), F.ascii(F.substring(s, i, F.lit(1)))).otherwise(F.lit(pad)))
+
+
+def kmer_store(df: DataFrame, key: str, seq: str, k: int, alphabet: str = "nt", letters: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """V-4: (index, matrix): ``index`` maps every ``key`` to a ``row_id``, ``matrix`` has (row_id, codes, counts) once per row.
+
+    Proteins share a row by the md5 of their trimmed upper-case sequence, nucleotides have a row per occurrence. Null sequences have none.
+    """
+    src = df.where(F.col(seq).isNotNull())
+    row = F.md5(F.upper(F.trim(seq))) if alphabet == "aa" else F.md5(F.concat_ws("|", F.col(key).cast("string"), F.md5(seq)))
+    named = src.select(F.col(key), row.alias("row_id"), F.upper(F.trim(seq)).alias("seq"))
+    one = named.groupBy("row_id").agg(F.min("seq").alias("seq"))
+    return named.select(key, "row_id").distinct(), kmer_rows(one, "row_id", "seq", k, letters or (STANDARD_RESIDUES if alphabet == "aa" else "ACGT"))

@@ -44,6 +44,24 @@ def single_file(df: DataFrame, key: str = "assembly_id", seq: str = "prot_seq")
     return keep_first(df.join(chosen, [key, "file"], "left_semi"), [key, seq], [F.col("brc_fea_id"), F.col("function")])
 
 
+def genome_duplicates(df: DataFrame, seq: str = "ctg_dna_seq", key: str = "assembly_id") -> DataFrame:
+    """DD3: one row per (sequence, isolate), the first by GCF_ file, file and contig; rows without a sequence or isolate stay."""
+    known = F.col(seq).isNotNull() & F.col(key).isNotNull()
+    return keep_first(df.where(known), [seq, key], [gcf_first(), F.col("file"), F.col("genbank_ctg_id")]).unionByName(df.where(~known))
+
+
+def protein_duplicates(df: DataFrame, most: int, seq: str = "prot_seq", key: str = "assembly_id") -> DataFrame:
+    """DD4: ``assembly_duplicates`` resolved; an isolate that still has more than ``most`` rows of one function is an error."""
+    from ..checks import DataCheckError
+    from .aggregates import counts_over
+
+    out = assembly_duplicates(df, seq, key=key).where("kept").drop("kept", "dup_type")
+    bad = counts_over(out.where(F.col(key).isNotNull() & F.col("function").isNotNull()), [key, "function"], most).limit(3).collect()
+    if bad:
+        raise DataCheckError(f"too many rows of a function: {[tuple(r) for r in bad]}")
+    return out
+
+
 def one_per_function(df: DataFrame, functions: list[str], key: str = "assembly_id") -> DataFrame:
     """DD6: one row per (isolate, function), of isolates that have all ``functions``."""
     one = keep_first(df.where(F.col("function").isin(functions) & F.col(key).isNotNull()), [key, "function"], [F.col("file"), F.col("brc_fea_id"), F.col("prot_hash")])

@@ -84,6 +84,27 @@ def isolate_pool(df: DataFrame, left: str, right: str, atoms: DataFrame, key: st
     return both.where("atom_id_a = atom_id_b").select(key, "prot_hash_a", "prot_hash_b", F.col("atom_id_a").alias("atom_id")).distinct()
 
 
+def ensure_hash(pairs: DataFrame, table: DataFrame, key: str, hash_col: str) -> DataFrame:
+    """DD10: ``<hash_col>_a`` and ``_b`` looked up by ``<key>_a`` and ``_b`` unless both are there with at least one value; empty placeholders are replaced."""
+    names = [f"{hash_col}_{s}" for s in "ab"]
+    if all(n in pairs.columns for n in names):
+        if not pairs.where(F.col(names[0]).isNotNull()).isEmpty() and not pairs.where(F.col(names[1]).isNotNull()).isEmpty():
+            return pairs
+    return attach_both_sides(pairs.drop(*names), unique_key(table.select(key, hash_col), key), key, [hash_col])
+
+
+def probe_contigs(features: DataFrame, contigs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(features with their contig's columns, one row with the numbers found and missing); a repeated contig is an error."""
+    joined = lookup(features, contigs.withColumn("_hit", F.lit(True)), keys)
+    return joined.drop("_hit"), joined.agg(F.count("_hit").alias("n_found"), (F.count("*") - F.count("_hit")).alias("n_missing"))
+
+
+def kmer_bridge(keys: DataFrame, index: DataFrame, matrix: DataFrame, key: str) -> DataFrame:
+    """(key, codes, counts) of the distinct keys that the index knows; of several rows of a key the smallest counts."""
+    one = index.join(keys.where(F.col(key).isNotNull()).select(key).distinct(), key).groupBy(key).agg(F.min("row_id").alias("row_id"))
+    return one.join(matrix, "row_id").drop("row_id")
+
+
 def representatives(df: DataFrame, hash_col: str, cols: list[str], order: list[str]) -> DataFrame:
     """One row per hash, the first by ``order``."""
     from .dedup import keep_first

@@ -30,3 +30,12 @@ def metadata_features(pairs: DataFrame, levels: dict[str, list[str]]) -> DataFra
     gap = F.coalesce(F.abs(F.col("year_a") - F.col("year_b")).cast("double"), F.lit(-1.0))
     same = [F.coalesce((F.col(f"{a}_a") == F.col(f"{a}_b")).cast("double"), F.lit(-1.0)) for a in ("host", "hn_subtype", "year")]
     return pairs.withColumn("features", F.array(*hot, gap, *same))
+
+
+def out_of_fold(pairs: DataFrame, features: str, n_folds: int, *, model: str = "logistic", seed: int = 0, **options) -> DataFrame:
+    """Every pair with the score of a model trained on the other folds; ``pairs`` has ``fold``, rows without one are left out."""
+    out = None
+    for f in range(n_folds):
+        part = fit_predict(pairs.where(F.col("fold") != f), pairs.where(F.col("fold") == f), features, model=model, seed=seed, **options)
+        out = part if out is None else out.unionByName(part)
+    return out

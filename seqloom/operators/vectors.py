@@ -71,7 +71,7 @@ def masked_mean(vectors: Name, mask: Name) -> Column:
     """V-16 pooling: mean of the vectors whose mask is true; null if none is."""
     kept = F.filter(F.arrays_zip(_c(vectors).alias("v"), _c(mask).alias("m")), lambda z: z["m"])
     rows = F.transform(kept, lambda z: z["v"])
-    summed = F.aggregate(F.slice(rows, 2, 1_000_000), F.get(rows, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    summed = F.aggregate(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), F.get(rows, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return F.when(F.size(kept) > 0, F.transform(summed, lambda v: v / F.size(kept)))
 
 

@@ -110,7 +110,12 @@ def clusters_from_pairs(df: DataFrame, prefix: str) -> DataFrame:
 
 def read_fasta_names(spark: SparkSession, path: str) -> DataFrame:
     """Header lines without '>'."""
-    return spark.read.text(path).where(F.col("value").startswith(">")).select(F.trim(F.substring("value", 2, 1_000_000)).alias("hash"))
+    return spark.read.text(path).where(F.col("value").startswith(">")).select(F.trim(F.expr("substring(value, 2)")).alias("hash"))
+
+
+def read_kmers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(index, matrix) as ``sinks.write_kmers`` stored them."""
+    return spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/matrix")
 
 
 def vectors_by_id(store: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -73,6 +73,25 @@ def write_by_reason(tagged: DataFrame, path: str) -> None:
     tagged.withColumn("reject_reason", F.coalesce("reject_reason", F.lit("kept"))).write.mode("overwrite").option("compression", "zstd").partitionBy("reject_reason").parquet(path)
 
 
+def write_kmers(index: DataFrame, matrix: DataFrame, path: str) -> None:
+    """The k-mer index and its sparse rows."""
+    index.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index")
+    matrix.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/matrix")
+
+
+def write_components(pairs: DataFrame, path: str) -> DataFrame:
+    """K6: pairs with their component, its nodes, its structure and its sizes as four tables; gives the sizes back. ``pairs`` has ``cc_id`` and cluster ids."""
+    from ..operators import graph
+    from ..operators.aggregates import component_sizes
+    from ..scratch import materialize
+
+    edges = materialize(graph.pair_bigraph(pairs))
+    tables = {"pairs": pairs, "nodes": graph.components(edges), "structure": graph.component_structure(edges), "sizes": component_sizes(pairs)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    return pairs.sparkSession.read.parquet(f"{path}/sizes")
+
+
 def append_vectors(store: DataFrame, new: DataFrame, key: str = "cache_key") -> DataFrame:
     """K8: the rows of ``new`` whose key isn't stored yet, each key once."""
     fresh = new.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(c, F.coalesce("row_idx", F.lit(0))).alias(c) for c in new.columns if c != key])
