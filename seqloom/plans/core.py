@@ -1,4 +1,4 @@
 """All core queries in one place."""
 
-from . import model_queries, sequence_queries, table_queries  # noqa: F401
+from . import model_queries, score_queries, sequence_queries, table_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
