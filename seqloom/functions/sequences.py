@@ -117,7 +117,8 @@ def protein_ambiguities(seq: Name) -> Column:
 
 def summarize_ambiguities(df: DataFrame, seq: str) -> DataFrame:
     """One row of corpus totals; an empty table gives zeros and null percentages."""
-    a = df.select(protein_ambiguities(seq).alias("a")).select("a.*")
+    one = protein_ambiguities(seq)  # fields are taken one by one, so that the maps of positions are never built
+    a = df.select(*[one[f].alias(f) for f in ("has_ambiguities", "ambiguity_count", "has_terminal_stop", "has_internal_stop")])
     pct = lambda c: F.round(F.try_divide(F.count_if(c) * 100, F.count("*")), 4)
     return a.agg(
         F.count("*").alias("total_seqs"),

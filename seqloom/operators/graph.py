@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..scratch import materialize, skew_join
+from ..scratch import materialize, rows_of, skew_join
 
 #: Largest number of edges that cutting and bridge search take to the driver; both work on cluster graphs, not on pairs.
 MOST_EDGES = 2_000_000
+#: Edges that one task joins up: some 100 MB of names.
+ONE_TASK = 500_000
 
 
 def pair_bigraph(pairs: DataFrame, a: str = "cluster_id_a", b: str = "cluster_id_b") -> DataFrame:
@@ -22,13 +24,40 @@ def pair_bigraph(pairs: DataFrame, a: str = "cluster_id_a", b: str = "cluster_id
     return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.concat(F.lit("a:"), F.col(a)).alias("src"), F.concat(F.lit("b:"), F.col(b)).alias("dst")).agg(F.count("*").alias("weight"))
 
 
+def local_roots(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest vertex of the group of every vertex 0..n-1 joined by the edges ``u``-``v`` (n = largest index + 1).
+
+    Vectorised union-find: every root hooks on to the smallest root it meets, then all paths are compressed.
+    """
+    parent = np.arange(int(max(u.max(initial=-1), v.max(initial=-1))) + 1)
+    while len(u):
+        ru, rv = parent[u], parent[v]
+        open_ = ru != rv
+        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
+        if not len(u):
+            break
+        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+    return parent
+
+
+def _one_task(edges: pd.DataFrame) -> pd.DataFrame:
+    """(x, p): every vertex of a bounded set of edges with the smallest of its component."""
+    names, ids = np.unique(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]), return_inverse=True)
+    return pd.DataFrame({"x": names, "p": names[local_roots(ids[: len(edges)], ids[len(edges) :])]})
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
     """(node, root) with root = the smallest node of the component.
 
     Star contraction: every node points to the least of itself and its neighbours (one pre-aggregated minimum), pointers
     are doubled until they are flat, edges are moved on to the roots and those inside a root vanish. Rounds go on
-    until no edge is left, each on fewer nodes than the one before. Null ends link nothing; ``nodes`` (one column)
-    adds single nodes.
+    until no edge is left, each on fewer nodes than the one before; the last ``ONE_TASK`` edges are joined up by one task.
+    Null ends link nothing; ``nodes`` (one column) adds single nodes.
     """
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     every = raw.select(F.explode(F.array("u", "v")).alias("node"))
@@ -36,7 +65,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
         every = every.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
     label = None
     live = materialize(raw.where("u is not null and v is not null and u <> v").distinct())
-    while not live.isEmpty():
+    while rows_of(live):
+        if rows_of(live) <= ONE_TASK:
+            kind = live.schema["u"].dataType.simpleString()
+            up = materialize(live.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_one_task, f"x {kind}, p {kind}"))
+            if label is None:
+                label = up
+            else:
+                label = materialize(skew_join(label, up.select(F.col("x").alias("p"), F.col("p").alias("q")), "p", "left").select("x", F.coalesce("q", "p").alias("p")))
+            break
         both = live.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.x", "e.y")
         up = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
         while True:

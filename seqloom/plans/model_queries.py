@@ -49,7 +49,7 @@ def split_leakage(t):
     return M.split_leakage(s.where("split_name = 'train'"), s.where("split_name = 'test'"))
 
 
-@query(f"""WITH RECURSIVE {CLUSTERED}, e AS (SELECT DISTINCT 'a:' || cluster_id_a AS u, 'b:' || cluster_id_b AS v FROM clustered WHERE cluster_id_a IS NOT NULL AND cluster_id_b IS NOT NULL AND substr(cluster_id_a, 3, 1) = substr(cluster_id_b, 3, 1)),
+@query(f"""WITH RECURSIVE {CLUSTERED}, e AS (SELECT DISTINCT 'a:' || cluster_id_a AS u, 'b:' || cluster_id_b AS v FROM clustered WHERE cluster_id_a IS NOT NULL AND cluster_id_b IS NOT NULL),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach AS (SELECT u, u AS v FROM b UNION SELECT reach.u, b.v FROM reach JOIN b ON reach.v = b.u) SELECT u AS node, min(v) AS root FROM reach GROUP BY 1""")
 def graph_components(t):
     return G.components(G.pair_bigraph(t.clustered()))
@@ -75,7 +75,7 @@ def carved_rows(t):
     return S.carve_rows(t("documents").select("doc_id"), "doc_id", 0.1, 1)
 
 
-@query("SELECT a.vec_id AS qid, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1")
+@query("SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) = 1")
 def nearest_cosine(t):
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return V.top_matches(e.where("id % 50 = 0"), e, 1).select("qid", "similarity")
+    return V.top_matches(e.where("id % 50 = 0"), e, 1).select("qid", "id", "similarity")

@@ -23,6 +23,15 @@ def query(sql: str | None = None):
     return wrap
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder beside the scratch tables, for round trips through files."""
+    import uuid
+
+    from ..scratch import scratch_dir
+
+    return f"{scratch_dir(spark)}/seqloom-files-{uuid.uuid4().hex}"
+
+
 class Tables:
     """Tables of one folder by name, and views that several queries share."""
 

@@ -53,9 +53,9 @@ def assembly_names(t):
     return t("protein_final").select("file").distinct().select("file", K.assembly_parts("file").alias("p")).select("file", "p.*")
 
 
-@query("SELECT pair_row_id, reverse(translate(ctg_dna_seq_a, 'ATGCatgcRYKMBVDHUu', 'TACGtacgYRMKVBHDAa')) AS rc FROM segment_pairs")
+@query("SELECT pair_row_id, reverse(translate(ctg_dna_seq_a, 'ATGCatgcRYKMBVDHUu', 'TACGtacgYRMKVBHDAa')) AS rc_a, reverse(translate(ctg_dna_seq_b, 'ATGCatgcRYKMBVDHUu', 'TACGtacgYRMKVBHDAa')) AS rc_b FROM segment_pairs")
 def reverse_complements(t):
-    return t("segment_pairs").select("pair_row_id", S.reverse_complement("ctg_dna_seq_a").alias("rc"))
+    return t("segment_pairs").select("pair_row_id", *[S.reverse_complement(f"ctg_dna_seq_{x}").alias(f"rc_{x}") for x in "ab"])
 
 
 @query(f"WITH {_SPAN} SELECT brc, l.start::INT AS start, l.strand AS strand, l.length::INT AS length FROM spans")
@@ -83,19 +83,19 @@ def cds_outcomes(t):
     return _contigs(t).groupBy(F.coalesce(S.cds_problem("dna", "spans"), F.lit("fine")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-_DNA = "upper(coalesce(ctg_dna_seq_a, ''))"
+_DNA = "upper(coalesce(dna, ''))"
 
 
 @query(f"""SELECT pair_row_id, length(regexp_replace({_DNA}, '[^NRYWSKMBDHV]', '', 'g')) AS ambig_count, CASE WHEN length({_DNA}) > 0 THEN length(regexp_replace({_DNA}, '[^NRYWSKMBDHV]', '', 'g')) / length({_DNA}) ELSE 0.0 END AS ambig_frac,
-length({_DNA}) AS length, CASE WHEN length({_DNA}) > 0 THEN length(regexp_replace({_DNA}, '[^GC]', '', 'g')) / length({_DNA}) ELSE 0.0 END AS gc_content FROM segment_pairs""")
+length({_DNA}) AS length, CASE WHEN length({_DNA}) > 0 THEN length(regexp_replace({_DNA}, '[^GC]', '', 'g')) / length({_DNA}) ELSE 0.0 END AS gc_content FROM (SELECT pair_row_id, ctg_dna_seq_a AS dna FROM segment_pairs UNION ALL SELECT pair_row_id, ctg_dna_seq_b FROM segment_pairs)""")
 def dna_qualities(t):
-    return t("segment_pairs").select("pair_row_id", S.dna_quality("ctg_dna_seq_a").alias("q")).select("pair_row_id", "q.*")
+    return _dnas(t).select("pair_row_id", S.dna_quality("dna").alias("q")).select("pair_row_id", "q.*")
 
 
 _ODD = "list_filter(list_transform(range(1, length(s) + 1), lambda i: {'r': substr(s, i::BIGINT, 1), 'p': i::INT}), lambda v: NOT contains('ACDEFGHIKLMNPQRSTVWY', v.r))"
 
 
-@query(f"""WITH x AS (SELECT doc_id, upper(trim(coalesce(text, ''), ' ')) AS s FROM documents WHERE lang = 'en'), o AS (SELECT doc_id, s, {_ODD} AS odd FROM x)
+@query(f"""WITH x AS (SELECT doc_id, upper(replace(trim(coalesce(text, ''), ' '), 'ß', 'SS')) AS s FROM documents), o AS (SELECT doc_id, s, {_ODD} AS odd FROM x)
 SELECT doc_id, length(list_filter(odd, lambda v: v.r <> '*')) AS ambiguity_count, ends_with(s, '*') AS has_terminal_stop, length(list_filter(odd, lambda v: v.r = '*' AND v.p < length(s))) AS n_internal_stops FROM o""")
 def residue_ambiguities(t):
     """Whole documents as sequences: every letter that isn't a residue counts."""
@@ -103,29 +103,43 @@ def residue_ambiguities(t):
     return t("documents").select("doc_id", a["ambiguity_count"].alias("ambiguity_count"), a["has_terminal_stop"].alias("has_terminal_stop"), F.size(a["internal_stop_positions"]).alias("n_internal_stops"))
 
 
-@query("SELECT count(*) AS total_seqs, 0::BIGINT AS seqs_with_ambiguities, 0.0::DOUBLE AS percent_seqs_with_ambiguities, 0::BIGINT AS total_ambiguities, count_if(prot_seq LIKE '%*') AS terminal_stops, count_if(rtrim(prot_seq, '*') LIKE '%*%') AS internal_stops FROM protein_final")
+@query("""WITH x AS (SELECT upper(replace(trim(coalesce(text, ''), ' '), 'ß', 'SS')) AS s FROM documents), y AS (SELECT s, regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY*]', '', 'g') AS odd, length(replace(s[:length(s) - 1], '*', '')) < length(s) - 1 AS inner_stop FROM x)
+SELECT count(*) AS total_seqs, count_if(length(odd) > 0 OR inner_stop) AS seqs_with_ambiguities, round(count_if(length(odd) > 0 OR inner_stop) * 100 / count(*), 4) AS percent_seqs_with_ambiguities, sum(length(odd))::BIGINT AS total_ambiguities, count_if(ends_with(s, '*')) AS terminal_stops, count_if(length(s) > 0 AND inner_stop) AS internal_stops FROM y""")
 def ambiguity_summary(t):
-    return S.summarize_ambiguities(t("protein_final"), "prot_seq")
+    return S.summarize_ambiguities(t("documents"), "text")
 
 
-@query("SELECT brc_fea_id, file, CASE WHEN length(coalesce(prot_seq, '')) = 0 THEN NULL ELSE upper(prot_seq) END AS ready_seq, CASE WHEN length(coalesce(prot_seq, '')) = 0 THEN 'empty' END AS problem, 0.0::DOUBLE AS x_count_ratio FROM protein_final")
+@query("""WITH p AS (SELECT brc_fea_id, file, row_number() OVER () AS i, CASE brc_fea_id[-1:] WHEN '1' THEN prot_seq || '*' WHEN '2' THEN replace(prot_seq, 'A', '*') WHEN '3' THEN replace(prot_seq, 'C', 'X') WHEN '4' THEN replace(prot_seq, 'W', 'B') WHEN '5' THEN replace(prot_seq, 'MA', 'M*') ELSE prot_seq END AS q FROM protein_final),
+a AS (SELECT *, upper(trim(coalesce(q, ''), ' ')) AS s FROM p), b AS (SELECT *, CASE WHEN ends_with(s, '*') THEN s[:length(s) - 1] ELSE s END AS body FROM a),
+c AS (SELECT *, length(body) AS n, length(body) - length(replace(body, '*', '')) AS st, replace(body, '*', 'X') AS x FROM b), d AS (SELECT *, round(st / nullif(n, 0), 4) AS rs, round((n - length(replace(x, 'X', ''))) / nullif(n, 0), 4) AS rx, replace(x, 'X', 'G') AS filled FROM c),
+e AS (SELECT *, CASE WHEN n <= 0 THEN 'empty' WHEN rs > 0.1 THEN 'internal_stops' WHEN rx > 0.1 THEN 'too_many_x' WHEN regexp_matches(filled, '[^ACDEFGHIKLMNPQRSTVWY]') THEN 'non_standard' END AS problem FROM d) SELECT brc_fea_id, file, CASE WHEN problem IS NULL THEN filled END AS ready_seq, problem, coalesce(rx, 0.0) AS x_count_ratio FROM e""")
 def model_sequences(t):
-    return t("protein_final").select("brc_fea_id", "file", S.model_ready("prot_seq").alias("m")).select("brc_fea_id", "file", "m.*")
+    """P15 on proteins that get stops, X and odd letters by the last digit of their feature."""
+    end, q = F.substring("brc_fea_id", -1, 1), F.col("prot_seq")
+    r = lambda a, b: F.replace(q, F.lit(a), F.lit(b))
+    dirty = F.when(end == "1", F.concat(q, F.lit("*"))).when(end == "2", r("A", "*")).when(end == "3", r("C", "X")).when(end == "4", r("W", "B")).when(end == "5", r("MA", "M*")).otherwise(q)
+    return t("protein_final").select("brc_fea_id", "file", S.model_ready(dirty).alias("m")).select("brc_fea_id", "file", "m.*")
 
 
-_K = "SELECT pair_row_id, unnest(list_filter(list_transform(range(1, length(ctg_dna_seq_a) - 2), lambda i: upper(substr(ctg_dna_seq_a, i::BIGINT, 4))), lambda w: regexp_full_match(w, '[ACGT]{4}'))) AS kmer FROM segment_pairs"
+_DNAS = "SELECT pair_row_id, ctg_dna_seq_a AS dna FROM segment_pairs UNION ALL SELECT pair_row_id, ctg_dna_seq_b FROM segment_pairs"
+_K = f"SELECT pair_row_id, unnest(list_filter(list_transform(range(1, length(dna) - 2), lambda i: upper(substr(dna, i::BIGINT, 4))), lambda w: regexp_full_match(w, '[ACGT]{{4}}'))) AS kmer FROM ({_DNAS})"
+
+
+def _dnas(t):
+    """Contigs of both sides of every pair."""
+    s = t("segment_pairs")
+    return s.select("pair_row_id", F.explode(F.array("ctg_dna_seq_a", "ctg_dna_seq_b")).alias("dna"))
 
 
 @query(f"WITH k AS ({_K}) SELECT kmer, count(*) AS n, count(DISTINCT pair_row_id) AS n_rows FROM k GROUP BY 1")
 def kmer_totals(t):
-    return S.kmer_counts(t("segment_pairs"), "pair_row_id", "ctg_dna_seq_a", 4).groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
+    return S.kmer_counts(_dnas(t), "pair_row_id", "dna", 4).groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
 
 
-@query(f"WITH k AS ({_K}), n AS (SELECT pair_row_id, kmer, count(*) AS n FROM k GROUP BY ALL) SELECT pair_row_id, count(*)::INT AS n_kmers, sqrt(sum(n * n)) / sqrt(sum(n * n)) AS norm, max(n) / sqrt(sum(n * n)) AS largest FROM n GROUP BY 1")
+@query(f"WITH k AS ({_K}), n AS (SELECT pair_row_id, kmer, count(*) AS n FROM k GROUP BY ALL) SELECT pair_row_id, list_sum(list_transform(range(0, 4), lambda j: (strpos('ACGT', substr(kmer, (j + 1)::BIGINT, 1)) - 1) * (4 ** (3 - j))))::BIGINT AS code, n / sqrt(sum(n * n) OVER (PARTITION BY pair_row_id)) AS value FROM n")
 def kmer_vectors(t):
-    f = S.kmer_features(t("segment_pairs"), "pair_row_id", "ctg_dna_seq_a", 4, norm="l2").where("size(features) > 0")
-    v = F.map_values("features")
-    return f.select("pair_row_id", F.size("features").alias("n_kmers"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.array_max(v).alias("largest"))
+    f = S.kmer_features(_dnas(t), "pair_row_id", "dna", 4, norm="l2")
+    return f.select("pair_row_id", F.explode("features").alias("code", "value"))
 
 
 @query("SELECT hn_subtype, count(*) AS n, nullif(regexp_extract(hn_subtype, '^(H\\d+)', 1), '') AS h, nullif(regexp_extract(hn_subtype, '^(?:H\\d+)?(N\\d+)$', 1), '') AS n_part, CASE WHEN regexp_full_match(hn_subtype, 'H\\d+N\\d+') THEN hn_subtype ELSE 'unknown' END AS canonical FROM flu_genomes_key GROUP BY hn_subtype")
@@ -174,7 +188,10 @@ def parsed_names(t):
     return M.parse_names(t("flu_genomes_key"), "hash_id", "virus_name")
 
 
-@query()
+_TITLE = "list_aggregate(list_transform(range(1, length(h) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(h, (i - 1)::BIGINT, 1), '\\p{L}') THEN upper(substr(h, i::BIGINT, 1)) ELSE substr(h, i::BIGINT, 1) END), 'string_agg', '')"
+
+
+@query(f"WITH d AS (SELECT DISTINCT host_common_name, trim(host_common_name, ' ') AS h FROM flu_first_seg_meta) SELECT host_common_name, CASE WHEN h = '' OR lower(h) = 'null' THEN NULL WHEN lower(h) = 'human' THEN 'Human' WHEN h = lower(h) THEN {_TITLE} ELSE h END AS host FROM d")
 def clean_hosts(t):
     h = t("flu_first_seg_meta").select("host_common_name").distinct()
     return h.select("host_common_name", M.clean_host("host_common_name").alias("host"))
@@ -194,7 +211,44 @@ def top_functions(t):
     return M.top_n_or_other(t("protein_final"), "function", 3).groupBy("function").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT source AS category, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT category, n, n / sum(n) OVER () AS share, row_number() OVER (ORDER BY n DESC, category) AS rank FROM n)
-SELECT CASE WHEN share >= 0.05 AND rank <= 4 THEN category ELSE 'Others' END AS category, sum(n)::BIGINT AS n, sum(share) AS share FROM r GROUP BY 1""")
+@query("""""WITH n AS (SELECT source AS category, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT category, n, n / sum(n) OVER () AS share, row_number() OVER (ORDER BY n DESC, category) AS rank FROM n)
+SELECT CASE WHEN share >= 0.05 AND rank <= 4 THEN category ELSE 'Others' END AS category, sum(n)::BIGINT AS n, sum(share) AS share FROM r GROUP BY 1""""")
 def source_categories(t):
     return M.categories_with_others(t("documents"), "source", min_share=0.05, cap=4)
+
+
+@query("WITH x AS (SELECT doc_id, upper(replace(trim(coalesce(text, ''), ' '), 'ß', 'SS')) AS s FROM documents), r AS (SELECT DISTINCT doc_id, unnest(string_split(s, '')) AS residue FROM x) SELECT residue, count(*) AS n_seqs FROM r WHERE residue <> '' AND NOT contains('ACDEFGHIKLMNPQRSTVWY*', residue) GROUP BY 1")
+def residue_counts(t):
+    return S.residue_counts(t("documents"), "text")
+
+
+@query(f"WITH q AS (SELECT pair_row_id, length(regexp_replace({_DNA}, '[^NRYWSKMBDHV]', '', 'g')) / nullif(length({_DNA}), 0) AS f FROM ({_DNAS})) SELECT count_if(coalesce(f, 0) <= 0.001) AS n_kept, count_if(f > 0.001) AS n_rejected, max(f) AS worst FROM q")
+def cleaned_contigs(t):
+    kept, rejects = S.clean_dna(_dnas(t), "dna", 0.001)
+    n = kept.agg(F.count("*").alias("n_kept"))
+    worst = _dnas(t).agg(F.max(S.dna_quality("dna")["ambig_frac"]).alias("worst"))
+    return n.join(F.broadcast(rejects.agg(F.count("*").alias("n_rejected")))).join(F.broadcast(worst))
+
+
+@query("SELECT pair_row_id, list_transform(range(1, 21), lambda i: CASE WHEN i <= length(prot_seq_a) THEN ascii(substr(prot_seq_a, i::BIGINT, 1)) ELSE 0 END) AS codes, (SELECT count(*) FROM range(1, 21) r(i) WHERE i <= length(prot_seq_a) AND i <= length(prot_seq_b) AND substr(prot_seq_a, i, 1) = substr(prot_seq_b, i, 1)) AS n_same FROM segment_pairs")
+def encoded_proteins(t):
+    a, b = S.encode_codes("prot_seq_a", 20, 0), S.encode_codes("prot_seq_b", 20, 1)
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda v: v)).cast("bigint")
+    return t("segment_pairs").select("pair_row_id", a.alias("codes"), same.alias("n_same"))
+
+
+@query("WITH p AS (SELECT DISTINCT brc_fea_id, upper(trim(prot_seq, ' ')) AS s FROM protein_final WHERE prot_seq IS NOT NULL AND brc_fea_id IS NOT NULL), k AS (SELECT brc_fea_id, s, length(s) - 2 AS n, md5(s) AS h FROM p) SELECT min(h) AS first_row, count(DISTINCT h) AS n_rows, count(DISTINCT brc_fea_id || h) AS n_keys, (SELECT sum(n)::BIGINT FROM (SELECT DISTINCT h, n FROM k)) AS n_kmers FROM k")
+def kmer_store(t):
+    """V-4, S15, J17: the protein k-mer store, written, read back and looked up."""
+    from ..operators.joins import kmer_bridge
+    from ..sources.readers import read_kmers
+    from ..sources.sinks import write_kmers
+    from .registry import own_folder
+
+    p, path = t("protein_final").where("brc_fea_id is not null"), own_folder(t.spark)
+    write_kmers(*S.kmer_store(p, "brc_fea_id", "prot_seq", 3, "aa"), path)
+    index, matrix = read_kmers(t.spark, path)
+    total = matrix.agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n_kmers"), F.min("row_id").alias("first_row"))
+    found = kmer_bridge(p, index, matrix, "brc_fea_id").agg(F.count("*").alias("n_found"))
+    out = index.agg(F.count_distinct("row_id").alias("n_rows"), F.count("*").alias("n_keys")).join(F.broadcast(total)).join(F.broadcast(found))
+    return out.select("first_row", "n_rows", "n_keys", "n_kmers")

@@ -247,7 +247,12 @@ def length_stats(t):
     return A.length_stats(t("protein_final"), "function", "prot_seq")
 
 
-@query()
+_CELL = "CASE WHEN year <= 2015 THEN '<=2015' WHEN year BETWEEN 2016 AND 2020 THEN '2016-2020' WHEN year >= 2021 THEN '2021+' END"
+
+
+@query(f"""WITH {META}, c AS (SELECT host, hn_subtype AS s, {_CELL} AS y, count(*) AS n FROM meta GROUP BY ALL), p AS (SELECT ['none_match','year_only','subtype_only','subtype_year_only','host_only','host_year_only','host_subtype_only','host_subtype_year'][1 + 4 * coalesce(a.host = b.host, false)::INT + 2 * coalesce(a.s = b.s, false)::INT + coalesce(a.y = b.y, false)::INT] AS regime,
+CASE WHEN a.host IS NOT DISTINCT FROM b.host AND a.s IS NOT DISTINCT FROM b.s AND a.y IS NOT DISTINCT FROM b.y THEN a.n * (a.n - 1) ELSE a.n * b.n END AS n FROM c a, c b)
+SELECT r AS regime, coalesce(sum(n), 0)::BIGINT AS n_available FROM unnest(['none_match','year_only','subtype_only','subtype_year_only','host_only','host_year_only','host_subtype_only','host_subtype_year']) x(r) LEFT JOIN p ON p.regime = r GROUP BY 1""")
 def regime_supply(t):
     from ..functions.metadata import isolate_cells
 
