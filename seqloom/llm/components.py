@@ -9,30 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import local_roots
 from ..scratch import materialize, rows_of, skew_join
 
 
-def local_roots(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest vertex of the group of every vertex 0..n-1 joined by the edges ``u``-``v`` (n = largest index + 1).
-
-    Vectorised union-find: every root hooks on to the smallest root it meets, then all paths are compressed.
-    """
-    parent = np.arange(int(max(u.max(initial=-1), v.max(initial=-1))) + 1)
-    while len(u):
-        ru, rv = parent[u], parent[v]
-        open_ = ru != rv
-        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
-        if not len(u):
-            break
-        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    return parent
-
-
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     """Star forest of one grid cell: every vertex that isn't the smallest of its local group, with that smallest one."""
     names, ids = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
