@@ -26,14 +26,15 @@ def norm(x: Name) -> Column:
 def unit_norm(x: Name) -> Column:
     """V-5: divided by its length, which counts as 1e-8 at least."""
     n = F.greatest(norm(x), F.lit(FLOOR))
-    return F.transform(_c(x), lambda v: v / n)
+    return F.zip_with(_c(x), F.array_repeat(n, F.size(_c(x))), lambda v, m: v / m)  # repeated, as a lambda would work it out for every component
 
 
 def slot_norm(x: Name) -> Column:
     """V-5: (v - mean) / (population deviation + 1e-5)."""
-    mean = total(x) / F.size(_c(x))
-    sd = F.sqrt(F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(_c(x)))
-    return F.transform(_c(x), lambda v: (v - mean) / (sd + 1e-5))
+    k = F.size(_c(x))
+    around = F.zip_with(_c(x), F.array_repeat(total(x) / k, k), lambda v, m: v - m)
+    sd = norm(around) / F.sqrt(k)
+    return F.zip_with(around, F.array_repeat(sd + 1e-5, k), lambda v, s: v / s)
 
 
 def dot(a: Name, b: Name) -> Column:
@@ -208,7 +209,7 @@ def mmd(df: DataFrame, vec: str, label: str, *, most: int = 2000, shuffles: int
         above = sum(stat(rng.permutation(y)) >= own for _ in range(shuffles))
         return pd.DataFrame({"mmd2": [own], "p_value": [(above + 1) / (shuffles + 1)], "n_1": [int(y.sum())], "n_0": [int((~y).sum())]})
 
-    return take(1).unionByName(take(0)).groupBy(F.lit(1)).applyInPandas(run, "mmd2 double, p_value double, n_1 bigint, n_0 bigint")
+    return take(1).unionByName(take(0)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "mmd2 double, p_value double, n_1 bigint, n_0 bigint")
 
 
 def principal_components(df: DataFrame, vec: str, k: int) -> DataFrame:
