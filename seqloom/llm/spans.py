@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..scratch import drop_scratch, materialize, pairs_within, rows_of, skew_join, spread_join
+from ..scratch import materialize, pairs_within, rows_of, skew_join, spread_join
 
 GRAM = 8  # code points whose hash decides where a token may begin
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -84,8 +85,12 @@ def token_windows(codes: np.ndarray, least: int, window: int) -> tuple[np.ndarra
 
 
 def _edges(least: int, window: int):
-    """Token k-mers of every text: (key, did, i, s, e)."""
-    schema = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("i", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+    """Token k-mers of every text: (part, key, did, i, s, e, sure).
+
+    A key that two texts of one batch have is known to be repeated: its rows are ``sure`` and are spread by text, so that
+    a hot key never meets in one place. Two witnesses (i = -1) of the batch go where the key's other rows are gathered.
+    """
+    schema = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("did", pa.int64()), ("i", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,12 +102,63 @@ def _edges(least: int, window: int):
                     key = _Hasher(c, _B1)(s, e).view(np.int64)
                     for o, x in zip(out, (key, np.full(len(s), did), np.arange(len(s), dtype=np.int32), s.astype(np.int32), e.astype(np.int32))):
                         o.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=schema)
+            if not out[0]:
+                continue
+            key, did, i, s, e = (np.concatenate(o) for o in out)
+            order = np.lexsort((did, key))
+            first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            start = np.flatnonzero(first)
+            low, high = did[order[start]], did[order[np.concatenate([start[1:], [len(key)]]) - 1]]
+            twice = low != high
+            sure = np.zeros(len(key), bool)
+            sure[order] = twice[np.cumsum(first) - 1]
+            known = key[order[start[twice]]]
+            none = np.full(2 * len(known), -1, np.int32)
+            cols = [np.where(sure, did, key), key, did, i, s, e, sure]
+            more = [np.tile(known, 2), np.tile(known, 2), np.concatenate([low[twice], high[twice]]), none, none, none, np.zeros(len(none), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])) for x, y in zip(cols, more)], schema=schema)
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, did), those whose key has two or more did. Rows of a key's first did are held back, others stream through.
+
+    Rows that are ``sure`` already pass; witnesses (i = -1) only tell the others.
+    """
+    held: list[pa.RecordBatch] = []
+    last_key = last_did = None
+    open_ = False  # the last key is known to have two did
+    real = lambda r: r.filter(pc.greater_equal(r.column("i"), 0)).drop_columns(["part", "sure"])
+    for b in batches:
+        sure = b.filter(b.column("sure"))
+        if sure.num_rows:
+            yield real(sure)
+        b = b.filter(pc.invert(b.column("sure")))
+        if not b.num_rows:
+            continue
+        key, did = b.column("key").to_numpy(), b.column("did").to_numpy()
+        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+        group = np.cumsum(new)  # 0: goes on from the batch before
+        change = np.concatenate([[not new[0] and did[0] != last_did], (did[1:] != did[:-1]) & ~new[1:]])
+        multi = np.zeros(group[-1] + 1, bool)
+        np.logical_or.at(multi, group, change)
+        if not new[0]:
+            multi[0] |= open_
+        if held and multi[0]:
+            yield from (real(h) for h in held)
+        if new[0] or multi[0] or group[-1] > 0:
+            held = []
+        keep = multi[group]
+        if keep.any():
+            yield real(b.filter(pa.array(keep)))
+        open_ = bool(multi[group[-1]])
+        if not open_:
+            tail = np.flatnonzero(group == group[-1])[0]
+            held.append(b.slice(tail))
+        last_key, last_did = key[-1], did[-1]
+
+
 def _boundary_keys(least: int, window: int):
     """Rows of (unitig, x, y, two hashes) for every way to widen an occurrence by x code points to the left and y to the right."""
 
@@ -141,7 +197,8 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, w
 
     Texts are cut into content-defined tokens (at most ``window`` code points apart, cut by what stands there and not by
     position). Runs of tokens that any sufficiently long span must hold are the edges of a De Bruijn graph; an
-    edge seen in one text only is dropped (least and largest text of an edge are pre-aggregated, hot edges joined apart). Edge f follows e on an unbranched path if e always goes on with f and f
+    edge seen in one text only is dropped (an edge that two texts of one batch have stays where it is, so that hot edges
+    are never gathered). Edge f follows e on an unbranched path if e always goes on with f and f
     always comes from e; such paths are compacted into one unitig by joins on the edge table, so that a long shared
     passage is one row per text however many edges it has. Every occurrence of a unitig is then checked at its source
     coordinates: it is widened there, in each way that makes ``least`` code points, and only texts that agree on the
@@ -154,11 +211,9 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, least: int = 200, w
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("did", F.xxhash64("text"))
     texts = src.where("text is not null").select("doc_id", "did", F.char_length("text").alias("n_chars"))
     long = src.where(F.char_length("text") >= least).select("did", "text")
-    edges = materialize(long.mapInArrow(_edges(least, window), "key bigint, did bigint, i int, s int, e int"))
-    repeated = materialize(edges.groupBy("key").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.count("*").alias("n")).where("d0 <> d1").select("key", "n"))
+    edges = long.mapInArrow(_edges(least, window), "part bigint, key bigint, did bigint, i int, s int, e int, sure boolean")
     # copies of a text give the same edges
-    rep = materialize(skew_join(edges, repeated.select("key"), "key", hot=_hot_keys(repeated, "key")).distinct())
-    drop_scratch(edges.sparkSession, edges)
+    rep = materialize(edges.repartition("part").sortWithinPartitions("key", "did", "i").mapInArrow(_repeated, "key bigint, did bigint, i int, s int, e int").distinct())
 
     text_order = W.partitionBy("did").orderBy("i")
     beside = lambda f, step, name: F.when(f("i").over(text_order) == F.col("i") + step, f("key").over(text_order)).alias(name)
