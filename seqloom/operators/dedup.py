@@ -79,7 +79,7 @@ def assign_segments(df: DataFrame, core: DataFrame, aux: DataFrame) -> DataFrame
 
     Both maps are small parameter tables (function, replicon_type, canonical_segment); the smallest segment counts.
     """
-    one = lambda m, n: F.broadcast(m.groupBy("function", "replicon_type").agg(F.min("canonical_segment").alias(n)))
+    one = lambda m, n: m.groupBy("function", "replicon_type").agg(F.min("canonical_segment").alias(n))
     out = df.drop("canonical_segment").join(one(core, "_core"), ["function", "replicon_type"], "left").join(one(aux, "_aux"), ["function", "replicon_type"], "left")
     return out.withColumn("canonical_segment", F.coalesce("_core", "_aux")).drop("_core", "_aux")
 

@@ -172,5 +172,5 @@ def sample_either_side(pairs: DataFrame, n: int, seed: int, key: str = "assembly
     """Pairs of which either side's isolate is among ``n`` sampled ones."""
     ids = pairs.select(F.explode(F.array(f"{key}_a", f"{key}_b")).alias("id"))
     picked = hash_order_limit(ids, "id", n, seed)
-    flag = lambda s: F.broadcast(picked.select(F.col("id").alias(f"{key}_{s}"), F.lit(True).alias(f"_{s}")))
+    flag = lambda s: picked.select(F.col("id").alias(f"{key}_{s}"), F.lit(True).alias(f"_{s}"))
     return pairs.join(flag("a"), f"{key}_a", "left").join(flag("b"), f"{key}_b", "left").where("_a or _b").drop("_a", "_b")

@@ -19,18 +19,20 @@ def _genomes(t):
         F.collect_set(F.struct(F.col("brc_fea_id").alias("id"), "type", "function", F.col("prot_seq").alias("protein_translation"), F.array(F.array("genbank_ctg_id", F.lit("1"), F.lit("+"), F.lit("3"))).alias("location"), "feature_quality", F.array(F.array(F.lit("x"), "family")).alias("family_assignments"))).alias("features"),
     )
     path = own_folder(t.spark)
+    folder = path.removeprefix("file://")
 
-    def save(rows):
+    def save(batches):
         import os
 
-        for r in rows:
-            os.makedirs(path.removeprefix("file://"), exist_ok=True)
-            with open(f"{path.removeprefix('file://')}/{r['file']}", "w", encoding="utf-8") as f:
-                f.write(r["doc"])
-            yield r["file"]
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            for name, text in zip(pdf["file"], pdf["doc"]):
+                with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield pdf[["file"]]
 
-    # genome files are what comes in from outside; here each is a document of its own, written by the tasks
-    doc.select("file", F.to_json(F.struct(*[c for c in doc.columns if c != "file"])).alias("doc")).rdd.mapPartitions(save).count()
+    # genome files are what comes in from outside; here each is a document of its own, written by the tasks to the shared folder
+    doc.select("file", F.to_json(F.struct(*[c for c in doc.columns if c != "file"])).alias("doc")).mapInPandas(save, "file string").count()
     return R.read_genomes(t.spark, path)
 
 

@@ -20,7 +20,7 @@ def read_genomes(spark: SparkSession, path: str, *, max_files: int | None = None
     df = df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_n", assembly_parts("file")).select("*", "_n.*").drop("_n")
     if max_files is not None:
         names = df.select("file").distinct().orderBy(*([order_key(seed, "file")] if seed is not None else []), "file").limit(max_files)
-        df = df.join(F.broadcast(names), "file", "left_semi")
+        df = df.join(names, "file", "left_semi")
     return df
 
 

@@ -194,3 +194,18 @@ def test_settings(tmp_path):
         config.function_names(c, ["PB1"])
     with pytest.raises(ValueError):
         config.load([], ["x"])
+
+
+def test_slowest_mode_equals_dense():
+    import numpy as np
+
+    for seed in range(20):
+        rnd = random.Random(seed)
+        n = rnd.randrange(3, 50)
+        edges = {(rnd.randrange(i), i) for i in range(1, n)} | {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(rnd.randrange(20))}
+        u, v = (np.array([e[k] for e in edges] + [e[1 - k] for e in edges]) for k in (0, 1))
+        m = np.zeros((n, n))
+        m[u, v] = 1
+        laplace = np.diag(m.sum(1)) - m
+        x = graph.slowest_mode(u, v, np.ones(len(u)), n)
+        assert x @ laplace @ x == pytest.approx(np.linalg.eigvalsh(laplace)[1], abs=1e-7)
