@@ -44,9 +44,10 @@ def verified(pairs: DataFrame, seqs: DataFrame, least_identity: float, least_cov
     a, b = F.length("q"), F.length("t")
     long, short = F.greatest(a, b), F.least(a, b)
     near = both.where((short >= least_coverage * long) & (short >= least_identity * long))
-    most = int(1_000_000)
-    d = F.when(F.col("q") == F.col("t"), F.lit(0)).otherwise(F.levenshtein("q", "t"))
-    out = near.withColumn("d", F.when(long <= most, d)).where((1 - F.col("d") / long) >= least_identity - 1e-12)
+    longest = seqs.agg(F.max(F.length("seq"))).first()[0] or 0
+    # no pair may differ by more edits than the longest sequence allows; beyond that the bounded distance gives up early (-1)
+    d = F.when(F.col("q") == F.col("t"), F.lit(0)).otherwise(F.levenshtein("q", "t", int((1 - least_identity) * longest + 1e-9)))
+    out = near.withColumn("d", d).where((F.col("d") >= 0) & ((1 - F.col("d") / long) >= least_identity - 1e-12))
     return out.select("query", "target", (1 - F.col("d") / long).alias("fident"), (short / a).alias("qcov"), (short / b).alias("tcov"))
 
 
