@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,15 +52,97 @@ def verified(pairs: DataFrame, seqs: DataFrame, least_identity: float, least_cov
     return out.select("query", "target", (1 - F.col("d") / long).alias("fident"), (short / a).alias("qcov"), (short / b).alias("tcov"))
 
 
+def shared_lengths(longest: int, least_identity: float) -> np.ndarray:
+    """For every length n up to ``longest``, letters that any two texts are sure to have in common in one piece if the longer one has n or more and they are hits; 0 where hits are equal texts only.
+
+    As many edits as the identity allows cut the longer text into one piece more, and those together lack at most a letter per edit.
+    """
+    n = np.arange(longest + 1)
+    edits = np.floor((1 - least_identity) * n + 1e-9).astype(np.int64)
+    piece = -((edits - n) // (edits + 1))
+    piece[edits == 0] = longest + 1
+    least = np.minimum.accumulate(piece[::-1])[::-1]
+    return np.where(edits > 0, least, 0)
+
+
+def pieces(seqs: DataFrame, longest: int, least_identity: float, least_coverage: float, k: int, m: int) -> DataFrame:
+    """(kmer, id): hashes of which any two texts of ``seqs`` (id, seq) that are hits have one in common; a row each once.
+
+    A common piece of f letters holds the least of the k-mer hashes of each of its windows, so each text gives the least hash
+    of every f letters, at f of its own length and of those that its longer partners may have; texts that allow no
+    edit give one hash of the whole. Where f is under ``k``, texts give the ``m`` least hashes of their k-mers.
+    """
+    f = shared_lengths(longest, least_identity)
+    f[(f > 0) & (f < k)] = 1
+    share = max(least_identity, least_coverage, 1e-9)
+    mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def of(ids: np.ndarray, texts: list[str], n: np.ndarray) -> pa.RecordBatch:
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row, left = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n) - np.arange(len(code))
+        most = np.minimum(longest, np.floor(n / share + 1e-9).astype(np.int64))
+        levels = [set(f[x : y + 1].tolist()) if x else set() for x, y in zip(n, most)]
+        rows, kmers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for level in sorted(set().union(*levels)):
+            here = np.array([level in x for x in levels])
+            width = 1 if level < k else min(level, max(2, level // 8))  # k-mers in a window
+            size = k if level < k else level - width + 1
+            if level:
+                h = np.full(max(0, len(code) - size + 1), level, np.uint64)
+                for i in range(size):
+                    h = h * np.uint64(1_000_003) + code[i : i + len(h)]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                h = np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1) if len(h) >= width else h[:0]
+                at = np.flatnonzero(here[row[: len(h)]] & (left[: len(h)] >= size + width - 1))
+                r, h = row[at], h[at]
+            else:
+                r = np.flatnonzero(here)
+                h = np.array([int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest()) for i in r], np.uint64)
+            o = np.lexsort((h, r))
+            r, h = r[o], h[o]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+            r, h = r[new], h[new]
+            if 0 < level < k:
+                least = np.arange(len(r)) - np.searchsorted(r, r) < m
+                r, h = r[least], h[least]
+            rows.append(r)
+            kmers.append(h.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kmers)), pa.array(ids[np.concatenate(rows)])], names=["kmer", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            n = np.array([len(x) for x in texts], np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000, prepend=0)).tolist()  # about a million letters at once
+            for x, y in zip([0, *cuts], [*cuts, len(n)]):
+                if x < y:
+                    yield of(ids[x:y], texts[x:y], n[x:y])
+
+    return seqs.select("id", "seq").mapInArrow(run, "kmer bigint, id bigint")
+
+
 def search(seqs: DataFrame, *, least_identity: float = 0.95, least_coverage: float = 0.8, k: int = 6, m: int = 40) -> DataFrame:
-    """All hits (query, target, fident, qcov, tcov), query < target, of sequences that share one of their ``m`` least k-mers.
+    """All hits (query, target, fident, qcov, tcov), query < target, of sequences.
 
-    Distinct sequences only. Pairs of a k-mer that many sequences have come from chunk blocks, never from one task.
+    Complete where the identity leaves two hits a common piece of ``k`` letters at least (``shared_lengths``; at 0.95 always);
+    shorter pieces make no candidates, and there two sequences must share one of their ``m`` least k-mers.
+    Distinct sequences only. K-mers of one sequence are dropped before any are paired; pairs of a k-mer that many sequences
+    have come from chunk blocks, never from one task.
     """
-    one = materialize(seqs.where("hash is not null and seq is not null").groupBy("hash").agg(F.min("seq").alias("seq")))
-    keys = materialize(sketch(one, k, m).select("kmer", "hash").distinct())
-    pairs = materialize(pairs_within(keys, "kmer", "hash").select(F.col("a").alias("query"), F.col("b").alias("target")).distinct())
-    return verified(pairs, one, least_identity, least_coverage)
+    one = materialize(seqs.where("hash is not null and seq is not null").groupBy("hash").agg(F.min("seq").alias("seq")).withColumn("id", F.monotonically_increasing_id()))
+    longest = one.agg(F.max(F.length("seq"))).first()[0] or 0
+    keys = materialize(pieces(one, longest, least_identity, least_coverage, k, m))
+    many = materialize(keys.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = [r[0] for r in many.where(F.col("n") > 200_000).orderBy(F.desc("n"), "kmer").limit(10_000).collect()]
+    keys = materialize(skew_join(keys, many.select("kmer"), "kmer", hot=hot))
+    pairs = materialize(pairs_within(keys, "kmer", "id").select(F.col("a").alias("query"), F.col("b").alias("target")).distinct())
+    hits = materialize(verified(pairs, one.select(F.col("id").alias("hash"), "seq"), least_identity, least_coverage))
+    name = lambda c, n: one.select(F.col("id").alias(c), F.col("hash").alias(n))
+    named = skew_join(skew_join(hits, name("query", "a"), "query"), name("target", "b"), "target", at_most=rows_of(hits))
+    first = F.col("a") < F.col("b")
+    return named.select(F.least("a", "b").alias("query"), F.greatest("a", "b").alias("target"), "fident", F.when(first, F.col("qcov")).otherwise(F.col("tcov")).alias("qcov"), F.when(first, F.col("tcov")).otherwise(F.col("qcov")).alias("tcov"))
 
 
 def linear_links(seqs: DataFrame, *, least_identity: float = 0.95, least_coverage: float = 0.8, k: int = 6, m: int = 20) -> DataFrame:

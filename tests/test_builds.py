@@ -123,6 +123,32 @@ def test_clustering_by_order_of_length(spark):
     assert clustering.cluster_functions(df.withColumn("function", F.lit("f")), ["none"], [0.9]).count() == 0
 
 
+def test_search_is_complete_without_pairs_of_common_pieces(spark, monkeypatch):
+    rnd = random.Random(8)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+
+    def edited(text, n):
+        for _ in range(n):
+            i, new = rnd.randrange(len(text)), rnd.choice(letters)
+            text = rnd.choice((text[:i] + new + text[i + 1 :], text[:i] + text[i + 1 :], text[:i] + new + text[i:]))
+        return text
+
+    mark = word(12)
+    core = [word(60) + mark + word(70) for _ in range(150)]
+    near = [edited(c, n) for c in core[:8] for n in (1, 4, 7, 8)]
+    short = [edited(c, n) for c in (word(19), word(21), word(39), word(41), "\U0001d49c" * 30) for n in (0, 0, 1, 2)] + ["ACD", "ACD", "", ""]
+    rows = [(f"h{i:03}", x) for i, x in enumerate(core + near + short)]
+    met, real = [], clustering.verified
+    monkeypatch.setattr(clustering, "verified", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    got = {(r.query, r.target): (r.fident, r.qcov, r.tcov) for r in clustering.search(spark.createDataFrame(rows, "hash string, seq string"), m=1_000).collect()}
+    x = spark.createDataFrame([(a, b, p, q) for (a, p), (b, q) in itertools.combinations(rows, 2)], "a string, b string, p string, q string")
+    n, k = F.greatest(F.length("p"), F.length("q")), F.least(F.length("p"), F.length("q"))
+    every = x.where((k > 0) & (k >= 0.95 * n)).withColumn("i", 1 - F.levenshtein("p", "q") / n).where("i >= 0.95 - 1e-12")
+    assert got == {(r.a, r.b): (r.i, r.u, r.v) for r in every.select("a", "b", "i", (k / F.length("p")).alias("u"), (k / F.length("q")).alias("v")).collect()}
+    assert len(got) > 30 and met[0] < 3 * len(got)  # the shared mark alone would make 11,175 pairs
+
+
 def test_large_graphs_contract_before_one_task(spark, monkeypatch):
     monkeypatch.setattr(graph, "ONE_TASK", 5)
     rows = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("x", "y")]
