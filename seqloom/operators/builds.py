@@ -155,30 +155,54 @@ def regime_budgets(pool: DataFrame, group: str, targets: dict[str, float], budge
     return table.mapInPandas(run, f"`{group}` {kind}, regime string, need bigint")
 
 
+def _place(seed: int, key: str):
+    """Seeded start of a walk."""
+    return F.conv(F.substring(order_key(seed, key), 1, 12), 16, 10).cast("bigint")
+
+
+def _by_regime(cells: DataFrame, cell: str, regimes: list[str]) -> DataFrame:
+    """A row of ``cells`` per regime that it can have a partner in, with the values of the ``axes`` to agree on."""
+    agreed = dict(zip(REGIMES, ((), AXES[:1], AXES[1:2], AXES[2:], AXES[:2], AXES[::2], AXES[1:], AXES)))
+    known = lambda r: F.when(F.forall(F.array(F.lit(""), *[F.col(cell)[x].cast("string") for x in agreed[r]]), lambda v: v.isNotNull()), F.concat_ws("\x1f", *[F.col(cell)[x] for x in agreed[r]]))
+    return cells.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(r).alias("regime"), known(r).alias("axes")) for r in regimes]))).select("*", "_r.*").drop("_r").where("axes is not null")
+
+
 def regime_negatives(pool: DataFrame, group: str, need: DataFrame, observed: DataFrame, *, seed: int = 0, taken: DataFrame | None = None, key: str = "assembly_id", first_step: int = 8) -> DataFrame:
     """N-4/N-11/N-20: label-0 pairs of isolates of one group with exactly ``need`` (group, regime, need) rows, as far as pairs exist.
 
-    ``pool`` has ``group``, ``key``, ``prot_hash_a``, ``prot_hash_b`` and ``cell``. The partners that give an isolate a
-    regime are laid on a ring, cell after cell; every isolate walks ``first_step`` places from its own seeded start, then,
-    where need is left, twice as far each round, until all is met or every pair was seen. A candidate is a key that is
-    neither observed nor taken, once; the least seeded hashes are placed. A pair of isolates never meets twice.
+    ``pool`` has ``group``, ``key``, ``prot_hash_a``, ``prot_hash_b`` and ``cell``. The cells that agree on a regime's axes are
+    laid on a ring, where a cell looks at ``first_step`` of them from its own seeded start; each of its isolates walks as many
+    places among the isolates of those that give the regime. The isolates to ask are the first in seeded order, four times as
+    many as pairs are needed. Where need is left, all three are doubled each round, until all is met or every pair was seen,
+    so that cells are never all paired with each other before that. A candidate is a key that is neither observed nor taken,
+    once; the least seeded hashes are placed. A pair of isolates never meets twice.
     """
     name = F.to_json("cell", {"ignoreNullFields": "false"})
     rows = materialize(pool.where(F.col(group).isNotNull()).select(group, F.col(key).alias("i"), F.col("prot_hash_a").alias("ha"), F.col("prot_hash_b").alias("hb"), "cell", name.alias("ck")))
     ring = materialize(positions_within(rows.where("hb is not null"), [group, "ck"], "i", seed, "at").select(group, F.col("ck").alias("ck2"), F.col("cell").alias("cell2"), "at", F.col("i").alias("ib"), "hb"))
+    a = materialize(positions_within(rows.where("ha is not null"), [group], "i", seed, "turn").select(group, "turn", "ck", "cell", F.col("i").alias("ia"), "ha", _place(seed, "i").alias("o")))
+    wanted = materialize(need.where("need > 0").withColumn("goal", F.col("need")))
+    regimes = [r[0] for r in wanted.where(F.col("regime").isin(*REGIMES)).select("regime").distinct().collect()] or [REGIMES[0]]  # eight at most
     sizes = ring.groupBy(group, "ck2").agg(F.count("*").alias("len"), F.first("cell2").alias("cell2"))
-    own = rows.where("ha is not null").groupBy(group, "ck").agg(F.first("cell").alias("cell"))
-    w = W.partitionBy(group, "ck", "regime").orderBy("ck2")  # cells of a group, not rows
-    table = own.join(sizes, group).withColumn("regime", regime("cell", "cell2")).withColumn("end", F.sum("len").over(w)).select(group, "ck", "regime", "ck2", "len", "end")
-    table = materialize(table)
-    totals = materialize(table.groupBy(group, "ck", "regime").agg(F.max("end").alias("total")))
-    wanted = materialize(need.where("need > 0"))
-    a = rows.where("ha is not null").select(group, "ck", F.col("i").alias("ia"), "ha", F.conv(F.substring(order_key(seed, "i"), 1, 12), 16, 10).cast("bigint").alias("o"))
-    out, todo, done, step = None, wanted, 0, first_step
+    side = [group, "regime", "axes"]
+    cells = materialize(positions_within(_by_regime(sizes, "cell2", regimes), side, "ck2", seed, "at").select(*side, "at", "ck2", "cell2", "len"))
+    rings = cells.groupBy(*side).agg(F.count("*").alias("n"), F.sum("len").alias("n_rows"))
+    own = materialize(_by_regime(a.groupBy(group, "ck").agg(F.first("cell").alias("cell")), "cell", regimes).join(rings, side).withColumn("o", _place(seed, "ck")))
+    far = own.groupBy(group, "regime").agg(F.max(F.greatest("n", "n_rows")).alias("most")).join(a.groupBy(group).agg(F.count("*").alias("n_asking")), group)
+    far = materialize(far)  # where a walk ends
+    by = W.partitionBy(group, "ck", "regime")  # cells looked at, not rows
+    out, todo, step, per_need = None, wanted, first_step, 4
     while True:
-        live = totals.join(todo, [group, "regime"]).where(F.col("total") > done)
-        asks = a.join(live, [group, "ck"]).withColumn("k", F.explode(F.sequence(F.lit(done).cast("bigint"), F.least(F.lit(done + step), F.col("total")) - 1))).withColumn("k", F.pmod(F.col("o") + F.col("k"), F.col("total")))
-        met = asks.join(table, [group, "ck", "regime"]).where((F.col("k") < F.col("end")) & (F.col("k") >= F.col("end") - F.col("len"))).withColumn("at", F.col("k") - F.col("end") + F.col("len"))
+        asks = a.join(todo, group).where(F.col("turn") < F.col("goal") * per_need).select(group, "regime", "need", "ck", "ia", "ha", "o")
+        seen = own.join(asks.select(group, "regime", "ck").distinct(), [group, "regime", "ck"], "left_semi")
+        seen = seen.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(step).cast("bigint"), F.col("n")) - 1))).withColumn("at", F.pmod(F.col("o") + F.col("k"), F.col("n")))
+        table = seen.join(cells, [*side, "at"]).where(regime("cell", "cell2") == F.col("regime"))
+        table = table.withColumn("end", F.sum("len").over(by.orderBy("k"))).withColumn("total", F.sum("len").over(by)).select(group, "regime", "ck", "ck2", "len", "end", "total")
+        met = asks.join(table, [group, "regime", "ck"])
+        start = F.pmod("o", "total")
+        stop, least = start + F.least(F.lit(step).cast("bigint"), F.col("total")), F.col("end") - F.col("len")
+        spans = [(F.greatest(least, start - lap), F.least("end", stop - lap) - 1) for lap in (F.lit(0), F.col("total"))]  # the way may go over the ring's end
+        met = met.withColumn("at", F.explode(F.concat(*[F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>")) for x, y in spans]))).withColumn("at", F.col("at") - least)
         cand = met.join(ring, [group, "ck2", "at"]).where("ia <> ib and ha <> hb").select(group, "regime", "need", "ia", "ib", "ha", "hb").withColumn("pair_key", pair_key("ha", "hb"))
         for known in (observed, taken, out):
             if known is not None:
@@ -188,10 +212,10 @@ def regime_negatives(pool: DataFrame, group: str, need: DataFrame, observed: Dat
         part = near.withColumn("r", F.row_number().over(W.partitionBy(group, "regime").orderBy("h", "pair_key"))).where("r <= need").drop("r", "h", "need")
         out = materialize(part if out is None else out.unionByName(part))
         got = out.groupBy(group, "regime").agg(F.count("*").alias("got"))
-        todo = materialize(wanted.join(got, [group, "regime"], "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).where("need > 0").drop("got"))
-        done, step = done + step, done + step
-        if todo.isEmpty() or totals.join(todo, [group, "regime"]).where(F.col("total") > done).isEmpty():
+        todo = materialize(wanted.join(got, [group, "regime"], "left").withColumn("need", F.col("goal") - F.coalesce("got", F.lit(0))).where("need > 0").drop("got"))
+        if todo.join(far, [group, "regime"]).where((F.col("most") > step) | (F.col("n_asking") > F.col("goal") * per_need)).isEmpty():
             break
+        step, per_need = 2 * step, 2 * per_need
     n = sum((F.col("neg_regime").contains(x).cast("int") for x in ("host", "subtype", "year")), F.lit(0))
     out = out.select(group, "pair_key", F.col("ia").alias(f"{key}_a"), F.col("ib").alias(f"{key}_b"), F.col("ha").alias("prot_hash_a"), F.col("hb").alias("prot_hash_b"), F.lit(0).alias("label"), F.col("regime").alias("neg_regime"))
     return out.withColumn("metadata_match_count", F.when(F.col("neg_regime") == REGIMES[0], 0).otherwise(n))

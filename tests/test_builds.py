@@ -83,6 +83,20 @@ def test_regime_negatives_go_on_until_supply_ends(spark):
     assert {r.prot_hash_a for r in cover.collect()} >= free_a and not {r.pair_key for r in cover.collect()} & seen
 
 
+def test_regime_negatives_do_not_pair_all_cells(spark, monkeypatch):
+    rows = [("g", f"i{i:03}", f"a{i}", f"b{i}", (f"host{i % 20}", f"H{i}", str(i // 20))) for i in range(300)]
+    pool = spark.createDataFrame(rows, "g string, assembly_id string, prot_hash_a string, prot_hash_b string, cell struct<host: string, hn_subtype: string, year: string>")
+    observed = spark.createDataFrame([(f"a{i}__b{i}",) for i in range(300)], "pair_key string")
+    need = spark.createDataFrame([("g", "none_match", 6), ("g", "host_only", 5), ("g", "year_only", 7), ("g", "subtype_only", 3)], "g string, regime string, need bigint")
+    written, real = [], builds.materialize
+    monkeypatch.setattr(builds, "materialize", lambda df: written.append(scratch.rows_of(out := real(df))) or out)
+    got = builds.regime_negatives(pool, "g", need, observed)
+    assert {r.neg_regime: r["count"] for r in got.groupBy("neg_regime").count().collect()} == {"none_match": 6, "host_only": 5, "year_only": 7}
+    assert max(written) <= 4 * 300  # all cells with each other are 90,000
+    one = builds.regime_negatives(pool, "g", need.where("regime = 'host_only'").withColumn("need", F.lit(10_000)), observed)
+    assert one.count() == 300 * 14 and one.select("pair_key").distinct().count() == 300 * 14
+
+
 def test_split_dataset_keeps_its_rules(spark):
     fa, fb = "A", "B"
     rows = [(f"{g}{i}.gto", f"{g}{i}", f"{g}{i}.{f}", f, f"{f.lower()}{g}{i % 6 if f == fa else i // 2 % 4}") for g in "wxyz" for i in range(9) for f in (fa, fb)]
