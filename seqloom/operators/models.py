@@ -20,6 +20,9 @@ def fit_predict(train: DataFrame, test: DataFrame, features: str, label: str = "
         "mlp": lambda: MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", seed=seed, **({"layers": [train.select(F.size(features)).first()[0], 16, 2]} | options)),
     }[model]
     fitted = make().fit(_vectors(train.where(F.col(features).isNotNull() & F.col(label).isNotNull()), features, label))
+    if getattr(fitted, "hasSummary", False):
+        # a logistic model's summary holds the session, which can't be sent with tasks once an Observation was used in it (``scratch.materialize``)
+        fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     out = fitted.transform(_vectors(test.where(F.col(features).isNotNull()), features, label))
     return out.withColumn("pred_prob", F.get(vector_to_array("probability"), F.lit(1))).select(*test.columns, "pred_prob")
 

@@ -11,7 +11,7 @@ from seqloom import config, scratch
 from seqloom.checks import DataCheckError
 from seqloom.functions import sequences
 from seqloom.functions.metadata import regime
-from seqloom.operators import aggregates, audits, builds, clustering, dedup, graph, joins, vectors
+from seqloom.operators import aggregates, audits, builds, clustering, dedup, graph, joins, models, vectors
 from seqloom.schema import REGIMES
 
 
@@ -249,3 +249,11 @@ def test_slowest_mode_equals_dense():
         laplace = np.diag(m.sum(1)) - m
         x = graph.slowest_mode(u, v, np.ones(len(u)), n)
         assert x @ laplace @ x == pytest.approx(np.linalg.eigvalsh(laplace)[1], abs=1e-7)
+
+
+def test_out_of_fold_scores_after_an_observation(spark):
+    rows = [(i, i % 2, [float(i % 2) + (i % 7) / 10, 1.0], i % 3 if i % 11 else None) for i in range(66)]
+    df = scratch.materialize(spark.createDataFrame(rows, "row int, label int, features array<double>, fold int"))  # observes its rows
+    got = models.out_of_fold(df, "features", 3).collect()
+    assert {r.row for r in got} == {r[0] for r in rows if r[3] is not None}
+    assert all((r.pred_prob > 0.5) == (r.label == 1) for r in got)
